@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import distinctive, encode, fusion, pack, residue, seen
+from weftline.llm import boilerplate, distinctive, encode, fusion, language, pack, residue, seen
 from weftline.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return fusion.top_per_query(p1_ranking(spark, d), 5).select("query_id", "url")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    model = language.fit_from(read_table(spark, d, "lang_samples"))
+    return language.page_languages(read_table(spark, d, "crawl"), model, found_only=True)
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    model = language.fit_from(read_table(spark, d, "lang_samples"))
+    return language.page_languages(read_table(spark, d, "crawl"), model, found_only=False)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.find_main(read_table(spark, d, "crawl"))
+
+
+def p4_main(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.extract_main(read_table(spark, d, "crawl"))
+
+
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     s = distinctive.term_scores(distinctive.distinct_terms(read_table(spark, d, "postings")))
     return s.select("url", "word", "tf", "df", F.round("score", 6).alias("score"))
