@@ -51,6 +51,16 @@ def _words(text: str) -> int:
     return n if text.isascii() else n + len(_CJK.findall(text)) // 2
 
 
+def _around(path: tuple, known: dict[int, list[str]]) -> list[str]:
+    x = path[-1]
+    up = known.get(id(path[-2])) if len(path) > 1 else []
+    if up is None:
+        up = known[id(path[-2])] = _around(path[:-1], known)
+    if not x.attrs:
+        return [*up, "a=" + x.tag] if x.tag in _STRUCTURE else up
+    return [*up, *(["a=" + x.tag] if x.tag in _STRUCTURE else []), *_parts(x.attrs)]
+
+
 def features(page: list[Block]) -> list[list[str]]:
     """The features of each block: its element and ancestors, its text, its place to the headline, its neighbours."""
     out: list[list[str]] = []
@@ -62,6 +72,7 @@ def features(page: list[Block]) -> list[list[str]]:
     tags = [b.path[-1].tag if b.path else "-" for b in page]
     after = rights = False
     teasers = False
+    around: dict[int, list[str]] = {}  # features of the elements around a block, shared by blocks of one element
     for i, b in enumerate(page):
         path, text, tag, share = b.path, b.text, tags[i], links[i]
         w = _words(text)
@@ -80,11 +91,11 @@ def features(page: list[Block]) -> list[list[str]]:
                 f.append("deep=" + "/".join(x.tag for x in path[at:][:4]) + ("+" if after else "-"))
         else:
             f.append("nohead")
-        for x in path:
-            if x.tag in _STRUCTURE:
-                f.append("a=" + x.tag)
-            if x.attrs:
-                f.extend(_parts(x.attrs))
+        if path:
+            shared = around.get(id(path[-1]))
+            if shared is None:
+                shared = around[id(path[-1])] = _around(path, around)
+            f += shared
         c = text[0]
         if c == "©" or "©" in text[:40]:
             rights = True
@@ -130,15 +141,13 @@ class Crf:
         """The best sequence of states."""
         if not feats:
             return []
-        get = self.weights.get
+        weights = self.weights
         (a00, a01), (a10, a11) = self.change
         s0 = s1 = 0.0
         back: list[tuple[bool, bool]] = []
         first = True
         for f in feats:
-            u = 0.0
-            for x in f:
-                u += get(x, 0.0)
+            u = sum([weights[x] for x in f if x in weights])
             if first:
                 s0, s1, first = 0.0, u, False
                 continue

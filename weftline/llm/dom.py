@@ -18,6 +18,7 @@ _BLOCK_IN_P = frozenset("address article aside blockquote div dl fieldset footer
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 _HEAD = re.compile(r"<head\b.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
+_CODE = re.compile("\ue000[^\ue001]*\ue001")
 _CUT = re.compile(r"<[/a-zA-Z][^<>]*\Z")  # a tag that the page's end cuts off
 # Text, then a tag: end mark, name, attributes. A "<" that begins no tag is text.
 _TOKEN = re.compile(r"([^<]*(?:<(?![/a-zA-Z])[^<]*)*)(?:<(/?)([a-zA-Z][\w:.-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|(<)|\Z)")
@@ -50,12 +51,13 @@ def has_html(text: str) -> bool:
 
 class Block:
     """A leaf block: text between two block tags, the elements around it (outermost first), how many characters are
-    inside links and inside code, whether a form control stands in the same element."""
+    inside links and inside code, whether a form control stands in the same element; ``plain`` is the text without its
+    code elements, null if it has none."""
 
-    __slots__ = ("text", "path", "links", "code", "control")
+    __slots__ = ("text", "path", "links", "code", "control", "plain")
 
-    def __init__(self, text: str, path: tuple, links: int, code: int, control: bool):
-        self.text, self.path, self.links, self.code, self.control = text, path, links, code, control
+    def __init__(self, text: str, path: tuple, links: int, code: int, control: bool, plain: str | None):
+        self.text, self.path, self.links, self.code, self.control, self.plain = text, path, links, code, control, plain
 
     @property
     def tag(self) -> str:
@@ -102,11 +104,12 @@ def blocks(html: str, nodes: list[Node] | None = None) -> list[Block]:
 
     for text, closing, name, attrs, stray in _TOKEN.findall(html):
         if text:
-            parts.append(text)
             if in_link:
                 links += len(text)
             if in_code:
                 code += len(text)
+                text = f"\ue000{text}\ue001"
+            parts.append(text)
         if stray:
             parts.append(stray)
             continue
@@ -120,12 +123,16 @@ def blocks(html: str, nodes: list[Node] | None = None) -> list[Block]:
         if tag == "input" or tag == "button":
             control = True
         if parts:
-            text = "".join(parts)
+            text, plain = "".join(parts), None
+            if code:
+                plain = _CODE.sub(" ", text)
+                plain = " ".join(unescape(plain).split())
+                text = text.replace("\ue000", "").replace("\ue001", "")
             if "&" in text:
                 text = unescape(text)
             text = " ".join(text.split())
             if text:
-                out.append(Block(text, tuple(stack), links, code, control))
+                out.append(Block(text, tuple(stack), links, code, control, plain))
                 if hashing and stack:
                     stack[-1].parts.append(text)
                 control = False

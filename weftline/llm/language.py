@@ -26,6 +26,8 @@ MAX_PIECE = 12  # characters
 MAX_SAMPLES = 2000
 # Runs of letters with inner apostrophes; scripts without blanks go on until their script changes.
 _WORD = re.compile(r"[぀-ゟ]+|[゠-ヿ]+|[㐀-鿿々]+|(?:(?![぀-ヿ㐀-鿿々])[^\W\d_])+")
+_SPACED_WORD = re.compile(r"[^\W\d_]+")
+_UNSPACED = re.compile(r"[぀-ヿ㐀-鿿々]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？])|\n+")
 
 # ISO 639 codes and English names of the nine languages.
@@ -81,7 +83,7 @@ class Model:
 
     def text(self, text: str) -> np.ndarray:
         """Log probability of a text's words under each language."""
-        words = _WORD.findall(text.lower())
+        words = words_of(text)
         if not words:
             return np.zeros(len(self.langs))
         rows = self.rows
@@ -94,6 +96,12 @@ class Model:
         return total
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case; scripts without blanks also part where the script changes."""
+    low = text.lower()
+    return (_SPACED_WORD if low.isascii() or not _UNSPACED.search(low) else _WORD).findall(low)
+
+
 def _unspaced(word: str) -> bool:
     return "぀" <= word[0] <= "鿿"
 
@@ -132,7 +140,7 @@ def fit(samples: Iterable[tuple[str, str]], vocabulary: set[str], rounds: int =
     for lang, text in samples:
         if lang and text and used[lang] < MAX_SAMPLES:
             used[lang] += 1
-            for w in _WORD.findall(text.lower()):
+            for w in words_of(text):
                 words[lang][" " + w if not _unspaced(w) else w] += 1
     langs = sorted(words)
     chars = {c for ws in words.values() for w in ws for c in w}
@@ -183,26 +191,42 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s and s.strip()]
 
 
-def label_sentences(model: Model, paragraphs: list[str], stay: float = 10.0, within: float = 14.0) -> list[tuple[int, str, str, float]]:
-    """(paragraph, sentence, language, confidence) of every sentence with words: the best path through the languages,
-    where each change costs ``stay`` between paragraphs and ``within`` inside one. The confidence is the probability
-    of the language among all, for the sentence with the neighbours that the path puts in the same language."""
-    items, scores = [], []
+#: Nats that a change of language costs, between paragraphs and inside one; and the lead of the best language over the
+#: second, in nats for each word, from which on a paragraph is taken as a whole.
+BETWEEN, WITHIN, CLEAR = 10.0, 14.0, 0.6
+
+
+def label_text(model: Model, paragraphs: list[str], by_sentence: bool = False) -> list[tuple[int, int, int, str, float]]:
+    """(paragraph, sentences, characters, language, confidence) of each part with words: a whole paragraph where one
+    language leads clearly, else each of its sentences (always, if ``by_sentence``).
+
+    The languages are the best path through all parts of the text, where each change has its cost. The confidence is
+    the probability of the language among all, for the part with the neighbours that the path puts in the same one."""
+    items: list[tuple[int, int, int]] = []
+    scores: list[np.ndarray] = []
     for k, p in enumerate(paragraphs):
-        for s in sentences(p):
-            v = model.text(s)
-            if v.any():
-                items.append((k, s))
+        n = len(_SENTENCE.findall(p.rstrip())) + 1
+        whole = None
+        if n == 1 or not by_sentence:
+            whole = model.text(p)
+            if n > 1:
+                second, first = np.partition(whole, -2)[-2:]
+                if first - second < CLEAR * (p.count(" ") + 1):
+                    whole = None
+        for part, count in [(p, n)] if whole is not None else [(x, 1) for x in sentences(p)]:
+            v = whole if whole is not None else model.text(part)
+            if v[0] < 0:
+                items.append((k, count, len(part)))
                 scores.append(v)
     if not items:
         return []
     best, back = scores[0], []
     for t in range(1, len(items)):
-        cost = within if items[t][0] == items[t - 1][0] else stay
+        cost = WITHIN if items[t][0] == items[t - 1][0] else BETWEEN
         top = int(best.argmax())
-        move = best[top] - cost > best
-        back.append((move, top))
-        best = np.where(move, best[top] - cost, best) + scores[t]
+        floor = best[top] - cost
+        back.append((best < floor, top))
+        best = np.maximum(best, floor) + scores[t]
     state = int(best.argmax())
     path = [state]
     for move, top in reversed(back):
@@ -214,25 +238,27 @@ def label_sentences(model: Model, paragraphs: list[str], stay: float = 10.0, wit
         if t == len(items) or path[t] != path[start]:
             total = np.sum(scores[start:t], axis=0)
             conf = 1.0 / float(np.exp(np.clip(total - total[path[start]], -700, 700)).sum())
-            out += [(items[i][0], items[i][1], model.langs[path[start]], conf) for i in range(start, t)]
+            out += [(*items[i], model.langs[path[start]], conf) for i in range(start, t)]
             start = t
     return out
 
 
-def stretches(labels: list[tuple[int, str, str, float]]) -> list[tuple[str, float, int, int, int]]:
+def stretches(labels: list[tuple[int, int, int, str, float]]) -> list[tuple[str, float, int, int, int]]:
     """(language, confidence, first paragraph, last paragraph, characters) of each stretch in one language."""
     out: list[list] = []
-    for k, s, lang, conf in labels:
+    for k, _, chars, lang, conf in labels:
         if out and out[-1][0] == lang:
-            out[-1][3], out[-1][4] = k, out[-1][4] + len(s)
+            out[-1][3], out[-1][4] = k, out[-1][4] + chars
         else:
-            out.append([lang, conf, k, k, len(s)])
+            out.append([lang, conf, k, k, chars])
     return [tuple(x) for x in out]
 
 
-def paragraph_languages(labels: list[tuple[int, str, str, float]], least: int = 2) -> set[str]:
+def paragraph_languages(labels: list[tuple[int, int, int, str, float]], least: int = 2) -> set[str]:
     """The languages in which some paragraph has ``least`` sentences or more."""
-    n = Counter((k, lang) for k, _, lang, _ in labels)
+    n: Counter = Counter()
+    for k, count, _, lang, _ in labels:
+        n[k, lang] += count
     return {lang for (_, lang), c in n.items() if c >= least}
 
 
@@ -249,23 +275,28 @@ def declaration(text: str) -> str | None:
             return a["lang"]
         if re.search(r"(?<![\w:-])lang(?:\s|$|=)", m.group(1)):
             return ""
-    for tag in _META.findall(text):
+    head = text[: m.end()] if (m := re.search(r"</head\s*>|<body\b", text, re.I)) else text
+    for tag in _META.findall(head):
         a = attributes(tag)
         if a.get("http-equiv", "").lower() == "content-language" or a.get("name", "").lower() == "content-language":
             return a.get("content", "")
     return None
 
 
+_PLAIN_CODE = re.compile(r"^(```|~~~).*?^\1|<pre>.*?</pre>|<(?:code|source)[^>]*>.*?</(?:code|source)>|\\begin\{(verbatim|lstlisting)\}.*?\\end\{\2\}", re.S | re.M)
+
+
 def page_paragraphs(text: str) -> list[str]:
     """The main content's blocks outside code; of a page without HTML its paragraphs."""
     if has_html(text):
         return [b.text for b in main_blocks(text) if not b.in_code]
-    return [p for p in re.split(r"\n\s*\n", re.sub(r"(?ms)^(```|~~~).*?^\1|<pre>.*?</pre>|<(?:code|source)[^>]*>.*?</(?:code|source)>", "\n\n", text)) if p.strip()]
+    prose = _PLAIN_CODE.sub("\n\n", text)
+    return [" ".join(p.split()) for p in re.split(r"\n\s*\n", prose) if p.strip() and not p.lstrip().startswith(("{|", "{{", "|", "!"))]
 
 
-def judge(model: Model, text: str) -> tuple[str | None, list[tuple[int, str, str, float]], set[str], bool]:
-    """(declared language, sentence labels, paragraph languages, whether the declaration is a case)."""
-    labels = label_sentences(model, page_paragraphs(text))
+def judge(model: Model, text: str, by_sentence: bool = False) -> tuple[str | None, list[tuple[int, int, int, str, float]], set[str], bool]:
+    """(declared language, labels, paragraph languages, whether the declaration is a case)."""
+    labels = label_text(model, page_paragraphs(text), by_sentence)
     langs = paragraph_languages(labels)
     said = declared(declaration(text)) if has_html(text) else None
     return said, labels, langs, len(langs) > 1 or bool(langs) and said not in langs
@@ -316,7 +347,7 @@ def page_languages(df: DataFrame, model: Model, found_only: bool, id_col: str =
             for i, page, ct in zip(*(c.to_pylist() for c in b.columns)):
                 text = decode(page, ct)
                 if text.strip():
-                    said, labels, _, _ = judge(m, text)
+                    said, labels, _, _ = judge(m, text, True)
                     rows += [(i, k, lang, conf, said, first, last, chars) for k, (lang, conf, first, last, chars) in enumerate(stretches(labels))]
             cols = list(zip(*rows)) if rows else [[] for _ in range(8)]
             types = [b.column(0).type, pa.int32(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import boilerplate, distinctive, encode, fusion, language, pack, residue, seen
+from weftline.llm import boilerplate, distinctive, encode, fusion, language, markup, pack, residue, seen
 from weftline.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,14 @@ def p4_main(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.extract_main(read_table(spark, d, "crawl"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.find_markup(read_table(spark, d, "crawl"))
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.find_markup(read_table(spark, d, "crawl"), clean=True)
+
+
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     s = distinctive.term_scores(distinctive.distinct_terms(read_table(spark, d, "postings")))
     return s.select("url", "word", "tf", "df", F.round("score", 6).alias("score"))
