@@ -45,9 +45,9 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage of ``df`` with a reliable checkpoint in the shared folder; survives the loss of executors."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager)
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Cuts the lineage of ``df``: writes it as a table in the shared folder, now, and reads that. It survives the loss
+    of executors, is columnar, so that later steps read only the columns they need, and is as small as Parquet."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
