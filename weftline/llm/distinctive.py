@@ -16,8 +16,9 @@ def distinct_terms(postings: DataFrame) -> DataFrame:
     return w.where(F.col("url").isNotNull() & (F.col("word") != "")).groupBy("url", "word").agg(F.max("tf").alias("tf"))
 
 
-def term_scores(terms: DataFrame, share: float = 1e-4, spread: int = 1024) -> DataFrame:
-    """(url, word, tf, df, score) of distinct (url, word, tf) rows.
+def term_scores(terms: DataFrame, only: DataFrame | None = None, share: float = 1e-4, spread: int = 1024) -> DataFrame:
+    """(url, word, tf, df, score) of distinct (url, word, tf) rows; of the urls of ``only``, if given, with counts over
+    all pages all the same. The rows are read several times: give a written table.
 
     score = tf / (terms of the page) * ln((1 + pages) / (1 + df)): smoothed, so that a word of every page scores 0
     and a new word is defined, and normalised by the page's length, the sum of its tf. An empty table gives no rows.
@@ -25,10 +26,11 @@ def term_scores(terms: DataFrame, share: float = 1e-4, spread: int = 1024) -> Da
     ``df`` comes from map-side partial counts and is joined back. A word with at least ``share`` of all rows would
     pull its rows into one task in that join, so those words (1 / share of them at most) are broadcast, and their
     rows travel under ``spread`` placeholder keys, which match nothing, instead of their own key."""
-    pages = terms.agg(F.count_distinct("url").alias("_n"))
+    pages = terms.select("url").distinct().agg(F.count("*").alias("_n"))
     df = terms.groupBy("word").agg(F.count("*").alias("df"))
     heavy = heavy_keys(terms.select("word"), "word", share).select(F.col("word").alias("_hw"), F.col("rows").alias("_hdf"))
-    sized = terms.withColumn("_len", F.sum("tf").over(Window.partitionBy("url")))
+    wanted = terms if only is None else terms.join(only.select("url"), "url", "left_semi")
+    sized = wanted.withColumn("_len", F.sum("tf").over(Window.partitionBy("url")))
     marked = sized.join(F.broadcast(heavy), F.col("word") == F.col("_hw"), "left")  # at most 1 / share rows
     key = F.when(F.col("_hw").isNull(), F.col("word")).otherwise(F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("url"), F.lit(spread)).cast("string")))
     joined = marked.withColumn("_key", key).join(df.select(F.col("word").alias("_key"), "df"), "_key", "left")

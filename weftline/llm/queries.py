@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import boilerplate, distinctive, encode, fusion, language, markup, pack, residue, seen
+from weftline.session import cut
 from weftline.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,13 +50,14 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = distinctive.term_scores(distinctive.distinct_terms(read_table(spark, d, "postings")))
+    s = distinctive.term_scores(cut(distinctive.distinct_terms(read_table(spark, d, "postings")), "terms"))
     return s.select("url", "word", "tf", "df", F.round("score", 6).alias("score"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    s = distinctive.term_scores(distinctive.distinct_terms(read_table(spark, d, "postings")))
-    return distinctive.most_distinctive(s, read_table(spark, d, "key_pages")).select("url", "word")
+    keys = read_table(spark, d, "key_pages")
+    s = distinctive.term_scores(cut(distinctive.distinct_terms(read_table(spark, d, "postings")), "terms"), only=keys)
+    return distinctive.most_distinctive(s, keys).select("url", "word")
 
 
 def p7_seen(spark: SparkSession, d: str) -> DataFrame:
