@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.salted import heavy_keys, normal_word, salted_counts
-from weftline.sources.tables import read_table
+from weftline.functions import html as H
+from weftline.functions import text as T
+from weftline.functions import url as U
+from weftline.operators import kv
+from weftline.operators.dataset import Dataset, PairDataset, append_capped, default_join, page_of, per_key_limit
+from weftline.operators.salted import normal_word, salted_counts
+from weftline.plans import crawl as C
+from weftline.plans import index as I
+from weftline.plans import pagerank as P
+from weftline.plans import search as S
+from weftline.session import scratch
+from weftline.sources.tables import read_table, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +37,81 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_WORD = "lower(regexp_replace(word, '^\\s+|\\s+$', '', 'g'))"
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return read_table(spark, d, name)
+
+
+# ---------------------------------------------------------------- SQL building blocks
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(T.STOP_WORDS))
+_WORD = r"lower(regexp_replace(word, '^\s+|\s+$', '', 'g'))"
+_PAGES = """pages as (select url, page, content_type from (select *, row_number() over (partition by url order by stored_at desc nulls last, crawl_id desc) as r
+ from crawl where page is not null and url is not null) where r = 1)"""
+
+
+def _ascii(b: str) -> str:
+    """Bytes as text in which everything beyond ASCII is a question mark."""
+    t = f"({b})::varchar"
+    for code, char in (("0A", "chr(10)"), ("0D", "chr(13)"), ("09", "chr(9)"), ("22", "'\"'"), ("27", "''''")):
+        t = f"replace({t}, '\\x{code}', {char})"
+    return f"replace(regexp_replace({t}, '\\\\x(?:[0-46-9A-F][0-9A-F]|5[0-9ABD-F])', '?', 'g'), '\\x5C', '\\')"
+
+
+def _utf8(b: str) -> str:
+    """Bytes as UTF-8, with a replacement character for a character that is cut at the end."""
+    cuts = "".join(f", try(decode(({b})[1:octet_length({b}) - {k}])) || chr(65533)" for k in (1, 2, 3))
+    return f"coalesce(try(decode({b})){cuts})"
+
+
+def _text(limit: int | None = H.PAGE_BYTES) -> str:
+    b = f"page[1:{limit}]" if limit else "page"
+    latin = f"array_to_string(list_transform(range(1, octet_length({b}) + 1), lambda i: chr(('0x' || hex(({b})[i:i]))::int)), '')"
+    utf = _utf8(b)
+    return rf"""regexp_replace(case when regexp_matches(lower(content_type), 'charset\s*=\s*"?(latin-?1|iso-?8859-1)') then {latin} else {utf} end, '^\x{{feff}}', '')"""
+
+
+def _sub(t: str, pattern: str, by: str = " ") -> str:
+    return f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
+
+
+def _ent(t: str, more: bool = False) -> str:
+    for a, b in [("&nbsp;", "' '"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'")] + ([("&quot;", "'\"'"), ("&#39;", "''''")] if more else []):
+        t = f"replace({t}, '{a}', {b})"
+    return t
+
+
+def _collapse(t: str) -> str:
+    return f"trim({_sub(t, r'[ \t\n\x0B\f\r]+')})"
+
+
+def _body(t: str) -> str:
+    return rf"case when regexp_matches({t}, '(?is)<body[^>]*>.*?</body>') then regexp_extract({t}, '(?is)<body[^>]*>(.*?)</body>', 1) else {t} end"
+
+
+def _strip(t: str, tags: list[str]) -> str:
+    for tag in tags:
+        t = _sub(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>")
+    return t
+
+
+def _index_body(t: str) -> tuple[str, str]:
+    """CTE step that strips, and the expression of the body over its column ``s``."""
+    return _sub(_sub(t, r"(?i)<script[^>]*>.*?</script>"), r"(?i)<style[^>]*>.*?</style>"), _collapse(_ent(_sub(_body("s"), r"<[^>]+>")))
+
+
+def _tfidf_body(t: str) -> tuple[str, str]:
+    s = _sub(_strip(t, ["script", "style"]), r"(?s)<!--.*?-->")
+    return s, _collapse(_ent(_sub(_strip(f"({_body('s')})", ["nav", "header", "footer", "aside"]), r"<[^>]+>")))
+
+
+def _rank_body(t: str) -> str:
+    s = _sub(_strip(t, ["script", "style"]), r"(?s)<!--.*?-->")
+    return _collapse(_ent(_sub(_strip(s, ["head", "nav", "header", "footer", "aside"]), r"<[^>]+>"), True))
+
+
+_TERMS = f"w <> '' and length(w) <= 25 and w not in ({_STOP})"
+
+# ---------------------------------------------------------------- problem 2
 
 
 @query(f"""with p as (select {_WORD} as w, url, tf from postings where word is not null),
@@ -35,18 +119,595 @@ o as (select w, url, count(*) as n, max(tf) as tf from p group by 1, 2)
 select w as word, sum(n)::bigint as rows, count(url)::bigint as items, coalesce(sum(case when url is not null then coalesce(tf, 0) end), 0)::bigint as total from o group by 1""")
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     """Page count and total tf of every word."""
-    return salted_counts(read_table(spark, d, "postings").withColumn("word", normal_word(F.col("word"))), "word", "url", "tf")
+    return salted_counts(_t(spark, d, "postings").withColumn("word", normal_word(F.col("word"))), "word", "url", "tf")
 
 
 @query(f"select {_WORD} as word from postings where word is not null group by 1 having count(*) >= 0.02 * (select count(*) from postings)")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The words that own at least 2 % of all rows, from the counts of all words."""
-    total = read_table(spark, d, "postings").agg(F.count("*").alias("_all"))
+    total = _t(spark, d, "postings").agg(F.count("*").alias("_all"))
     return p2_counts(spark, d).join(F.broadcast(total), F.col("rows") >= 0.02 * F.col("_all")).select("word")  # one row
 
 
+# ---------------------------------------------------------------- dataset operators
+
+_TOKENS = f"""tok as (select doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) as w from documents where text is not null),
+terms as (select doc_id, w from tok where {_TERMS})"""
+
+
+def _doc_texts(spark: SparkSession, d: str) -> Dataset:
+    return Dataset.from_table(_t(spark, d, "documents"), F.col("text"))
+
+
+@query(f"with {_TOKENS} select w as word, count(*) as n from terms group by 1 order by n desc, word limit 20")
+def wordcount_top(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _doc_texts(spark, d).flat_map(T.document_terms).map_to_pair(lambda v: v, lambda v: F.lit(1))
+    return pairs.fold_by_key(F.sum).df.select(F.col("key").alias("word"), F.col("value").alias("n")).orderBy(F.desc("n"), "word").limit(20)
+
+
+@query(f"with {_TOKENS} select w as value, count(*) as n from terms group by 1")
+def flatmap_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _doc_texts(spark, d).flat_map(T.document_terms).df.groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("select c_nationkey::varchar as key, c_name as value from customer")
+def map_to_pair_nation(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "customer").select(F.struct("c_nationkey", "c_name").alias("value"))
+    return Dataset(c).map_to_pair(lambda v: v.c_nationkey.cast("string"), lambda v: v.c_name).df
+
+
+@query(f"with {_TOKENS} select substr(w, 1, 1) as key, w as value, count(*) as n from terms group by 1, 2")
+def flatmap_to_pair_words(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _doc_texts(spark, d).flat_map_to_pair(lambda v: F.transform(T.document_terms(v), lambda w: F.struct(F.substring(w, 1, 1).alias("key"), w.alias("value"))))
+    return pairs.df.groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+@query(r"select value, count(*) as n from (select source || ':' || unnest(string_split(text, chr(10))) as value from documents where text is not null and source is not null) group by 1")
+def pair_flatmap_lines(spark: SparkSession, d: str) -> DataFrame:
+    pairs = PairDataset(_t(spark, d, "documents").where("source is not null and text is not null").select(F.col("source").alias("key"), F.col("text").alias("value")))
+    lines = pairs.flat_map(lambda k, v: F.transform(F.split(v, "\n"), lambda x: F.concat(k, F.lit(":"), x)))
+    return lines.df.groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query(f"""with tok as (select source, unnest(string_split_regex(lower(text), '[^a-z]+')) as w from documents where text is not null and source is not null)
+select w as key, source as value, count(*) as n from tok where {_TERMS} group by 1, 2""")
+def pair_flatmap_to_pair(spark: SparkSession, d: str) -> DataFrame:
+    pairs = PairDataset(_t(spark, d, "documents").where("source is not null").select(F.col("source").alias("key"), F.col("text").alias("value")))
+    out = pairs.flat_map_to_pair(lambda k, v: F.transform(T.document_terms(v), lambda w: F.struct(w.alias("key"), k.alias("value"))))
+    return out.df.groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderpriority as value from orders where o_orderpriority <> '5-LOW'")
+def filter_bag(spark: SparkSession, d: str) -> DataFrame:
+    return Dataset.from_table(_t(spark, d, "orders"), F.col("o_orderpriority")).filter(lambda v: v != "5-LOW").df
+
+
+@query("select distinct o_orderpriority as value from orders where o_orderpriority <> '5-LOW'")
+def filter_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return Dataset.from_table(_t(spark, d, "orders"), F.col("o_orderpriority")).filter(lambda v: v != "5-LOW", distinct=True).df
+
+
+@query("select l_orderkey::varchar || '-' || l_linenumber::varchar as value from lineitem where ('0x' || substr(md5(l_orderkey::varchar || '-' || l_linenumber::varchar), 1, 8))::bigint < 429496729")
+def sample_hash(spark: SparkSession, d: str) -> DataFrame:
+    ids = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return Dataset.from_table(_t(spark, d, "lineitem"), ids).sample_by_hash(0.1).df
+
+
+@query()
+def sample_bernoulli(spark: SparkSession, d: str) -> DataFrame:
+    return Dataset.from_table(_t(spark, d, "lineitem"), F.col("l_orderkey").cast("string")).sample(0.1, 42).df
+
+
+@query("select c_name || '/' || c_mktsegment as value from customer where c_acctbal > 0")
+def from_table_rowmap(spark: SparkSession, d: str) -> DataFrame:
+    return Dataset.from_table(_t(spark, d, "customer"), F.when(F.col("c_acctbal") > 0, F.concat_ws("/", "c_name", "c_mktsegment"))).df
+
+
+@query("select * from (values ('a'), ('b'), ('b'), ('c')) t(value)")
+def parallelize_values(spark: SparkSession, d: str) -> DataFrame:
+    return Dataset.parallelize(spark, ["a", "b", "b", "c"]).df
+
+
+@query("select p_partkey, p_name from part where p_name >= 'c' and p_name < 'p' order by p_name, p_partkey limit 10")
+def key_range_scan(spark: SparkSession, d: str) -> DataFrame:
+    return kv.scan(_t(spark, d, "part"), "c", "p", "p_name").select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(10)
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey = 7")
+def point_get(spark: SparkSession, d: str) -> DataFrame:
+    return kv.get_row(_t(spark, d, "orders"), 7, "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("select (select count(*) > 0 from orders where o_orderkey = 7) as present, (select count(*) > 0 from orders where o_orderkey = -7) as absent")
+def exists_row(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    some = lambda k: kv.get_row(o, k, "o_orderkey").agg((F.count("*") > 0).alias("x"))
+    return some(7).withColumnRenamed("x", "present").crossJoin(some(-7).withColumnRenamed("x", "absent"))  # one row each
+
+
+@query("select c_custkey::varchar as key, c_name || ',' || o_orderkey::varchar as value from customer join orders on c_custkey = o_custkey")
+def pair_join_concat(spark: SparkSession, d: str) -> DataFrame:
+    left = PairDataset(_t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("value")))
+    right = PairDataset(_t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").cast("string").alias("value")))
+    return left.join(right).df
+
+
+@query("select n_nationkey, n_name, coalesce(suppliers, 0) as suppliers from nation left join (select s_nationkey as n_nationkey, count(*) as suppliers from supplier group by 1) using (n_nationkey)")
+def left_default_join(spark: SparkSession, d: str) -> DataFrame:
+    right = _t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    return default_join(_t(spark, d, "nation").select("n_nationkey", "n_name"), right, "n_nationkey", {"suppliers": F.lit(0)})
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
+def anti_visited(spark: SparkSession, d: str) -> DataFrame:
+    seen = _t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return _t(spark, d, "customer").select("c_custkey").join(seen, "c_custkey", "left_anti")
+
+
+@query("select l_returnflag as key, sum(l_quantity) as value from lineitem group by 1")
+def fold_by_key_sum(spark: SparkSession, d: str) -> DataFrame:
+    return PairDataset(_t(spark, d, "lineitem").select(F.col("l_returnflag").alias("key"), F.col("l_quantity").alias("value"))).fold_by_key(F.sum).df
+
+
+@query("select n_regionkey as key, string_agg(n_name, ',' order by n_name) as value from nation group by 1")
+def fold_by_key_concat(spark: SparkSession, d: str) -> DataFrame:
+    pairs = PairDataset(_t(spark, d, "nation").select(F.col("n_regionkey").alias("key"), F.col("n_name").alias("value")))
+    return pairs.fold_ordered(F.lit(""), lambda acc, v: F.when(acc == "", v).otherwise(F.concat(acc, F.lit(","), v))).df
+
+
+@query("select sum(l_quantity) as value from lineitem")
+def fold_total(spark: SparkSession, d: str) -> DataFrame:
+    return Dataset.from_table(_t(spark, d, "lineitem"), F.col("l_quantity")).fold(F.sum)
+
+
+@query("select substr(o_orderpriority, 1, 1) as key, o_orderpriority as value from orders")
+def group_by_bag(spark: SparkSession, d: str) -> DataFrame:
+    return Dataset.from_table(_t(spark, d, "orders"), F.col("o_orderpriority")).group_by(lambda v: F.substring(v, 1, 1)).df
+
+
+@query("select (select count(*) from orders) as orders, (select count(*) from lineitem) as lineitem, (select count(distinct o_custkey) from orders) as customers")
+def counts(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").agg(F.count("*").alias("orders"), F.count_distinct("o_custkey").alias("customers"))
+    return o.crossJoin(_t(spark, d, "lineitem").agg(F.count("*").alias("lineitem"))).select("orders", "lineitem", "customers")  # one row each
+
+
+@query("select distinct l_shipdate::date::varchar as value from lineitem")
+def distinct_values(spark: SparkSession, d: str) -> DataFrame:
+    return Dataset.from_table(_t(spark, d, "lineitem"), F.col("l_shipdate").cast("date").cast("string")).distinct().df
+
+
+@query("select c_custkey::varchar as value from customer intersect select o_custkey::varchar from orders")
+def intersect_keys(spark: SparkSession, d: str) -> DataFrame:
+    a = Dataset.from_table(_t(spark, d, "customer"), F.col("c_custkey").cast("string"))
+    return a.intersection(Dataset.from_table(_t(spark, d, "orders"), F.col("o_custkey").cast("string"))).df
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 15")
+def take_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15)
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10 offset 20")
+def paginate(spark: SparkSession, d: str) -> DataFrame:
+    return page_of(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 3)
+
+
+@query("""with r as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n from orders)
+select o_custkey, ((n - 1) // 3)::int as chunk, list(o_orderkey order by n) as list from r where n <= 5 group by 1, 2""")
+def append_capped_lists(spark: SparkSession, d: str) -> DataFrame:
+    return append_capped(_t(spark, d, "orders"), "o_custkey", "o_orderkey", ["o_orderdate"], 5, 3)
+
+
+@query("""with p as (select o_custkey, o_orderkey, o_orderdate, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as n from orders)
+select o_custkey, o_orderkey from p where n <= 2""")
+def per_key_first(spark: SparkSession, d: str) -> DataFrame:
+    return per_key_limit(_t(spark, d, "orders"), "o_custkey", [F.desc("o_orderdate"), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey")
+
+
+@query("select o_orderstatus as key, max(o_orderpriority) as value from orders group by 1")
+def pair_save_last(spark: SparkSession, d: str) -> DataFrame:
+    """Saving pairs as a table: of a key's values one stays."""
+    pairs = PairDataset(_t(spark, d, "orders").select(F.col("o_orderstatus").alias("key"), F.col("o_orderpriority").alias("value")))
+    path = scratch(spark, "pairs")
+    pairs.fold_by_key(F.max).df.write.parquet(path)
+    return spark.read.schema("key string, value string").parquet(path)
+
+
+# ---------------------------------------------------------------- key-value tables, with events as their log
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events")
+    return e.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("col"), F.col("value").cast("string").alias("value"), F.col("event_id").alias("version"), F.lit(False).alias("deleted"))
+
+
+_KV = "cells as (select user_id::varchar as key, event_type as col, value, event_id as version from events where event_type is not null)"
+
+
+@query(f"with {_KV} select key, col, arg_max(value, version) as value from cells group by 1, 2")
+def kv_latest(spark: SparkSession, d: str) -> DataFrame:
+    return kv.latest(_cells(spark, d)).select("key", "col", F.col("value").cast("double").alias("value"))
+
+
+@query(f"with {_KV} select key, col, value from cells where version = 77")
+def kv_version_n(spark: SparkSession, d: str) -> DataFrame:
+    return kv.at_version(_cells(spark, d), 77).select("key", "col", F.col("value").cast("double").alias("value"))
+
+
+@query(f"""with {_KV}, now as (select key, col, arg_max(value, version) as value from cells group by 1, 2), k as (select distinct user_id::varchar as key from events)
+select k.key, case when c.value > 0 and c.value = (select value from now x where x.key = k.key and x.col = 'click') and c.value < 20 then 'OK' else 'FAIL' end as result,
+case when c.value < 20 then 0.0 else v.value end as value from k left join now c on c.key = k.key and c.col = 'click' left join now v on v.key = k.key and v.col = 'view'""")
+def kv_cond_put(spark: SparkSession, d: str) -> DataFrame:
+    """Sets ``view`` to 0 where ``click`` is below 20: the put names the value it saw, or one that can't be there."""
+    now = kv.latest(_cells(spark, d))
+    clicks = now.where("col = 'click'").select("key", F.when(F.col("value").cast("double") < 20, F.col("value")).otherwise("other").alias("equals"))
+    keys = _cells(spark, d).select("key").distinct()
+    puts = keys.join(clicks, "key", "left").select("key", F.lit("view").alias("col"), F.lit("0").alias("value"), F.lit("click").alias("if_col"), F.coalesce("equals", F.lit("other")).alias("equals"))
+    return kv.conditional(now, puts).select("key", "result", F.col("value").cast("double").alias("value"))
+
+
+@query(f"with {_KV} select key, col, arg_max(value, version) as value from cells where key not in (select user_id::varchar from events where event_type = 'error') group by 1, 2")
+def kv_delete_row(spark: SparkSession, d: str) -> DataFrame:
+    log = _cells(spark, d)
+    gone = log.where("col = 'error'").select("key").distinct()
+    return kv.delete_rows(kv.latest(log), gone).select("key", "col", F.col("value").cast("double").alias("value"))
+
+
+@query(f"with {_KV} select count(distinct key) as n from cells")
+def kv_table_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Puts the log into a table on disk, compacts it and counts its rows."""
+    table = kv.KVTable(spark, scratch(spark, "kv"))
+    table.put(_cells(spark, d).where("col is not null"))
+    return table.compact(scratch(spark, "kv")).rows().select("key").distinct().agg(F.count("*").alias("n"))
+
+
+@query("select n_nationkey, sha1(n_nationkey::varchar || '|n_name=' || n_name || '|n_regionkey=' || n_regionkey::varchar) as fingerprint from nation")
+def row_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "nation").select("n_nationkey", T.row_fingerprint(F.col("n_nationkey"), {"n_regionkey": F.col("n_regionkey"), "n_name": F.col("n_name")}).alias("fingerprint"))
+
+
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "crawl", "frontier", "visited", "hosts", "postings", "vocab", "tfidf", "page_meta"]
+
+
+@query(" union all ".join(f"select '{t}' as name, count(*) as rows from {t}" for t in _TABLES))
+def table_catalog(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for t in _TABLES:
+        one = _t(spark, d, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---------------------------------------------------------------- urls
+
+_REST = r"'^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(.*)$'"
+
+
+@query(rf"""select url, lower(regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) as scheme, lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1)) as host,
+case when not regexp_matches(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://') then url when regexp_extract(url, {_REST}, 1) = '' then '/' else regexp_extract(url, {_REST}, 1) end as rest from frontier""")
+def url_parse(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return _t(spark, d, "frontier").select("url", U.url_scheme(u).alias("scheme"), U.url_host(u).alias("host"), U.url_rest(u).alias("rest"))
+
+
+@query(r"""with a as (select queue_id, regexp_replace(regexp_replace(url, '^\s+|\s+$', '', 'g'), '#.*$', '') as u from frontier),
+b as (select *, lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) as s, lower(regexp_extract(u, '^[A-Za-z]+://([^/?]*)', 1)) as h, regexp_extract(u, '^[A-Za-z]+://[^/?]*([^?]*)', 1) as p, regexp_extract(u, '^[A-Za-z]+://[^?]*(\?.*)$', 1) as q from a),
+c as (select *, case when s = 'http' then regexp_replace(h, ':(80)?$', '') else regexp_replace(h, ':(443)?$', '') end as h2, string_split(substr(p, 2), '/') as parts from b),
+d as (select *, list_filter(parts, lambda x, i: x <> '.') as np from c),
+e as (select *, list_reduce(list_transform(np, lambda x: [x]), lambda acc, x: case when x[1] = '..' then acc[1:len(acc) - 1] else list_concat(acc, x) end, []::varchar[]) as seg from d)
+select queue_id, case when u = '' or u is null then null when s = '' then u else s || '://' || h2 || case when p = '' then '/' when not regexp_matches(p, '/\.\.?(/|$)') then p
+ else '/' || array_to_string(seg, '/') || case when parts[-1] in ('.', '..') and len(seg) > 0 then '/' else '' end end || q end as canonical from e""")
+def url_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "frontier").select("queue_id", U.normalize_url(F.col("url")).alias("canonical"))
+
+
+def _policy_sql() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    path = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1))"
+    tests = [r"regexp_matches(url, '^(?i)https?://[^/?#]')", r"regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1) <> ''"]
+    tests += [f"not ends_with({path}, {q(s)})" for s in U.BLOCKED_SUFFIXES]
+    tests += [f"not contains(lower(url), {q(s)})" for s in U.BLOCKED_PARTS] + [f"not contains({path}, {q(s)})" for s in U.LANGUAGE_DIRS]
+    return " and ".join(tests)
+
+
+@query(f"select queue_id, coalesce({_policy_sql()}, false) as crawl from frontier")
+def url_should_crawl(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "frontier").select("queue_id", U.should_crawl(F.col("url")).alias("crawl"))
+
+
+@query()
+def robots_check(spark: SparkSession, d: str) -> DataFrame:
+    """Which frontier urls their host's robots rules allow, with the delay asked for; hosts are joined by name."""
+    rules = _t(spark, d, "hosts").select("host", U.robots_rules(F.col("robots_txt")).alias("rules"), U.robots_delay(F.col("robots_txt")).alias("delay"))
+    f = _t(spark, d, "frontier").select("queue_id", U.url_host(F.col("url")).alias("host"), U.url_rest(F.col("url")).alias("path")).where("host is not null and host <> ''")
+    return f.join(rules, "host", "left").select("queue_id", F.coalesce(U.robots_allowed(F.col("rules"), F.col("path")), F.lit(True)).alias("allowed"), F.coalesce("delay", F.lit(1.0)).alias("delay"))
+
+
+@query(r"""select host, coalesce(try_cast(nullif(regexp_extract(robots_txt, '(?im)^[ \t]*crawl-delay[ \t]*:[ \t]*([0-9]+(?:\.[0-9]+)?)', 1), '') as double), 1.0) as delay from hosts""")
+def robots_delays(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "hosts").select("host", U.robots_delay(F.col("robots_txt")).alias("delay"))
+
+
+@query("select host, coalesce(epoch_ms(timestamptz '2025-12-01 00:00:00+00') - epoch_ms(last_access) < ceil(coalesce(crawl_delay, 1.0) * 1000), false) as too_early from hosts")
+def host_politeness(spark: SparkSession, d: str) -> DataFrame:
+    h = _t(spark, d, "hosts")
+    return h.select("host", C.too_early(F.col("last_access"), F.lit("2025-12-01 00:00:00").cast("timestamp"), F.col("crawl_delay")).alias("too_early"))
+
+
+@query("""with h as (select queue_id, url, lower(regexp_extract(url, '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#:]*)', 1)) as host from frontier where url is not null)
+select queue_id from (select queue_id, row_number() over (partition by host order by queue_id) as n from h) where n <= 5""")
+def host_cap(spark: SparkSession, d: str) -> DataFrame:
+    return C.host_capped(_t(spark, d, "frontier").where("url is not null"), ["queue_id"], 5).select("queue_id")
+
+
+# ---------------------------------------------------------------- pages
+
+_TXT = f"with {_PAGES}, t as (select url, {_text()} as html from pages)"
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return I.latest_pages(_t(spark, d, "crawl"))
+
+
+@query(f"with {_PAGES} select url, octet_length(page)::bigint as bytes, md5(page) as digest from pages")
+def cached_page(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("url", F.octet_length("page").cast("bigint").alias("bytes"), F.md5("page").alias("digest"))
+
+
+_TITLE = _collapse(_sub(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)", r"<[^>]+>"))
+
+
+@query(f"{_TXT}, x as (select url, {_TITLE} as t from t) select url, case when t = '' then url when length(t) > 120 then t[1:120] || '...' else t end as title from x")
+def html_title(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("url", H.title(H.page_text(F.col("page"), F.col("content_type")), F.col("url")).alias("title"))
+
+
+def _body_sql(strip: str, body: str) -> str:
+    return f"{_TXT}, x as (select url, {strip} as s from t) select url, md5({body}) as digest from x"
+
+
+@query(_body_sql(*_index_body("html")))
+def html_body_index(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("url", F.md5(H.body_for_index(H.page_text(F.col("page"), F.col("content_type")))).alias("digest"))
+
+
+@query(_body_sql(*_tfidf_body("html")))
+def html_body_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("url", F.md5(H.body_for_tfidf(H.page_text(F.col("page"), F.col("content_type")))).alias("digest"))
+
+
+@query(f"{_TXT} select url, md5({_rank_body('html')}) as digest from t")
+def html_body_rank(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("url", F.md5(H.body_for_rank(H.page_text(F.col("page"), F.col("content_type")))).alias("digest"))
+
+
+def _meta_sql(attr: str, name: str) -> str:
+    tag = rf"regexp_extract(html, '(?is)<meta\b[^>]*{attr}\s*=\s*[\"'']{name}[\"''][^>]*>', 0)".replace('\\"', '"')
+    value = rf"""regexp_extract({tag}, '(?is)content\s*=\s*("[^"]*"|''[^'']*'')', 1)"""
+    return f"nullif(trim({_ent(f"""regexp_replace({value}, '^["'']|["'']$', '', 'g')""", True)}), '')"
+
+
+_DESCRIPTION = f"coalesce({_meta_sql('property', 'og:description')}, {_meta_sql('name', 'description')}, {_meta_sql('name', 'twitter:description')})"
+_SEMANTIC = "coalesce(" + ", ".join(rf"nullif(regexp_extract(html, '(?is)<{t}\b[^>]*>(.*?)</{t}>', 1), '')" for t in ("main", "article", "section")) + ")"
+
+
+@query(f"""{_TXT}, x as (select url, {_DESCRIPTION} as a, nullif({_collapse(_sub(_SEMANTIC, r"<[^>]+>"))}, '') as b, {_rank_body("html")} as c from t),
+y as (select url, trim(coalesce(a, b, {_collapse(_sub("case when length(c) > 300 then substr(c, 301) else c end", r"<[^>]+>"))})) as s from x)
+select url, case when length(s) > 200 then s[1:200] || '...' else s end as snippet from y""")
+def html_snippet(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("url", H.snippet(H.page_text(F.col("page"), F.col("content_type"))).alias("snippet"))
+
+
+_HREF = r"""'(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'"""
+
+
+@query(rf"""{_TXT}, x as (select url, regexp_extract_all(html, {_HREF}, 1) as l from t), y as (select url, unnest(l) as href, generate_subscripts(l, 1) - 1 as pos from x)
+select url, pos::int as pos, trim(regexp_replace(href, '^["'']|["'']$', '', 'g')) as href from y""")
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("url", F.posexplode(H.hrefs(H.page_text(F.col("page"), F.col("content_type")))).alias("pos", "href"))
+
+
+@query()
+def links_top30(spark: SparkSession, d: str) -> DataFrame:
+    return P.page_links(_pages(spark, d))
+
+
+# ---------------------------------------------------------------- index, weights, ranks
+
+_S1, _B1 = _index_body("a")
+_S2, _B2 = _tfidf_body("a")
+_INDEX = f"""{_PAGES}, n as (select count(*) as pages from pages), cap as (select greatest(1, least(100, case when floor(pages * 0.15) = 0 then 100 else floor(pages * 0.15) end)) as cap from n),
+i1 as (select url, {_ascii("page[1:20000]")} as a from pages where octet_length(page) >= 100 and regexp_matches(url, '^(?i)https?://')), i2 as (select url, {_S1} as s from i1), i3 as (select url, {_B1} as b from i2),
+i4 as (select url, unnest(string_split_regex(lower(b), '[^a-z]+')) as w from i3), i5 as (select url, w, count(*) as tf from i4 where {_TERMS} group by 1, 2),
+idx as (select w as word, url, tf from (select *, row_number() over (partition by w order by url) as r from i5 where tf >= 2) where r <= (select cap from cap)),
+voc as (select word, count(*) as df from idx group by 1)"""
+_WEIGHTS = f"""{_INDEX}, j1 as (select url, {_ascii("page[1:20000]")} as a from pages where octet_length(page) >= 64), j2 as (select url, {_S2} as s from j1), j3 as (select url, {_B2} as b from j2),
+j4 as (select url, unnest(string_split_regex(lower(b), '[^a-z]+')) as w from j3), j5 as (select url, w, count(*) as c from j4 where {_TERMS} group by 1, 2),
+j6 as (select url, w, c from (select *, row_number() over (partition by url order by c desc, w) as r from j5) where r <= 60),
+wts as (select word, url, 1 + ln(c) as tf, ln((pages + 1.0) / (df + 1.0)) as idf, (1 + ln(c)) * ln((pages + 1.0) / (df + 1.0)) as tfidf from j6 join voc on w = word cross join n where ln((pages + 1.0) / (df + 1.0)) > 0)"""
+
+
+@query(f"with {_INDEX} select word, url, tf from idx")
+def inverted_index(spark: SparkSession, d: str) -> DataFrame:
+    return I.build(_t(spark, d, "crawl"))[0]
+
+
+@query(f"with {_INDEX} select word, df from voc")
+def vocab_df(spark: SparkSession, d: str) -> DataFrame:
+    return I.build(_t(spark, d, "crawl"))[1]
+
+
+@query(f"with {_WEIGHTS} select word, url, round(tf, 6) as tf, round(idf, 6) as idf, round(tfidf, 6) as tfidf from wts")
+def tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
+    return I.build(_t(spark, d, "crawl"))[2].select("word", "url", *[F.round(c, 6).alias(c) for c in ("tf", "idf", "tfidf")])
+
+
+@query()
+def pagerank_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d)
+    links = P.page_links(pages).select("src", "dst")
+    return P.pagerank(pages.select(U.normalize_url(F.col("url")).alias("id")), links)
+
+
+_PARTS = """l as (select distinct l_orderkey, l_linenumber, l_partkey from lineitem where l_returnflag = 'R'),
+e0 as (select distinct a.l_partkey as src, b.l_partkey as dst from l a join l b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_partkey <> b.l_partkey),
+e as (select src, dst, count(*) over (partition by src) as o from (select *, row_number() over (partition by src order by dst) as r from e0) where r <= 30),
+v as (select p_partkey as id, count(*) over () as n, p_partkey not in (select src from e) as d from part)"""
+
+
+def _rounds_sql(k: int) -> str:
+    out = "r0 as (select id, n, d, 1.0::double / n as rank from v)"
+    for i in range(1, k + 1):
+        p = f"r{i - 1}"
+        out += f""", c{i} as (select dst, sum(rank / o) as x from e join {p} on src = id group by 1), s{i} as (select coalesce(sum(rank), 0) as s from {p} where d),
+r{i} as (select id, n, d, 0.15 / n + 0.85 * coalesce(x, 0) + 0.85 * s / n as rank from {p} left join c{i} on dst = id cross join s{i})"""
+    return out
+
+
+@query(f"with {_PARTS}, {_rounds_sql(5)} select id, round(rank, 9) as rank from r5")
+def pagerank_parts_k5(spark: SparkSession, d: str) -> DataFrame:
+    """Five rounds over the graph of parts that follow each other in an order."""
+    item = _t(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    nxt = item.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    edges = item.join(nxt, ["l_orderkey", "l_linenumber"]).where("l_partkey <> dst").select(F.col("l_partkey").alias("src"), "dst").distinct()
+    edges = per_key_limit(edges, "src", [F.col("dst")], P.LINKS_PER_PAGE)
+    ranks = P.pagerank(_t(spark, d, "part").select(F.col("p_partkey").alias("id")), edges, rounds=5, tolerance=None)
+    return ranks.select("id", F.round("rank", 9).alias("rank"))
+
+
+# ---------------------------------------------------------------- search
+
+_META = """meta as (select url, title, snippet, pagerank from (select *, row_number() over (partition by url order by ranked_at desc nulls last, pagerank desc nulls last, title desc nulls last, snippet desc nulls last) as r from page_meta where url is not null) where r = 1)"""
+_POST = f"post as (select {_WORD} as word, url, tf from postings where word is not null), wt as (select {_WORD} as word, url, max(case when tfidf > 0 and not isnan(tfidf) then tfidf end) as tfidf from tfidf where word is not null group by 1, 2)"
+
+
+def _search_sql(words: list[str], city: str | None = None, source: str = "post") -> str:
+    ws = sorted(set(words))
+    inn = ", ".join(f"'{w}'" for w in ws)
+    share = lambda c: "(" + " + ".join(f"contains(lower({c}), '{w}')::int" for w in words) + f") / {len(words)}.0::double"
+    near = f"case when contains(lower(title), '{city.lower()}') or contains(lower(url), '{city.lower()}') or contains(lower(snippet), '{city.lower()}') then 1.0 else 0.0 end" if city else "0.0"
+    return f"""cand as (select url from {source} where word in ({inn}) group by 1 having count(distinct word) = {len(ws)}),
+avgw as (select url, avg(tfidf) as w from wt where word in ({inn}) and tfidf > 0 group by 1),
+f as (select c.url, coalesce(nullif(trim(m.title), ''), c.url) as title, coalesce(m.snippet, '...') as snippet, coalesce(case when not isnan(m.pagerank) then m.pagerank end, 0.1) as pagerank, coalesce(w, 0.0) as tfidf from cand c left join avgw a on a.url = c.url left join meta m on m.url = c.url),
+sc as (select *, (0.45 * ln(1 + greatest(pagerank, 0)) + 0.45 * greatest(tfidf, 0) + 0.07 * {share("title")} + 0.03 * {share("url")}) * (1 + 0.2 * {near}) * case when length(url) <= 120 then 1.0::double else 1.0 / (1.0 + (length(url) - 120) / 60.0) end as score from f),
+best as (select * from (select *, row_number() over (partition by case when trim(title) = '' then chr(1) || url else lower(trim(title)) end order by score desc, url) as r from sc) where r = 1)"""
+
+
+def _search_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    post = _t(spark, d, "postings").select(normal_word(F.col("word")).alias("word"), "url", "tf").where("word is not null")
+    good = F.when((F.col("tfidf") > 0) & ~F.isnan("tfidf"), F.col("tfidf"))
+    wt = _t(spark, d, "tfidf").select(normal_word(F.col("word")).alias("word"), "url", good.alias("tfidf")).where("word is not null").groupBy("word", "url").agg(F.max("tfidf").alias("tfidf"))
+    return post, wt, S.latest_meta(_t(spark, d, "page_meta"))
+
+
+@query(f"with {_META}, {_POST}, {_search_sql(['guide', 'water'])} select url, title, round(score, 6) as score from best order by best.score desc, url limit 10")
+def search_ranked(spark: SparkSession, d: str) -> DataFrame:
+    out = S.search(*_search_tables(spark, d), "the Guide water")
+    return S.result_page(out, 1).select("url", "title", F.round("score", 6).alias("score"))
+
+
+@query(f"with {_META}, {_POST}, {_search_sql(['city', 'market'], 'Market')} select url, round(score, 6) as score from best")
+def search_geo(spark: SparkSession, d: str) -> DataFrame:
+    return S.search(*_search_tables(spark, d), "city market", city="Market").select("url", F.round("score", 6).alias("score"))
+
+
+_LONG = "https://long.example/" + "x" * 150
+
+
+@query(f"""with {_META}, {_POST}, post2 as (select * from post union all select 'music', '{_LONG}', 3), {_search_sql(['music'], source='post2')} select url, round(score, 6) as score from best""")
+def search_long_url(spark: SparkSession, d: str) -> DataFrame:
+    post, wt, meta = _search_tables(spark, d)
+    extra = spark.createDataFrame([("music", _LONG, 3)], post.schema)
+    return S.search(post.unionByName(extra), wt, meta, "music").select("url", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {_META}, {_POST}, {_search_sql(['music', 'school'])} select b.url, list(wt.word order by wt.word)[1:5] as words from best b join wt on wt.url = b.url and wt.word in ('music', 'school') and wt.tfidf > 0 group by 1""")
+def search_diag(spark: SparkSession, d: str) -> DataFrame:
+    """Which words of the query have a weight on each result, at most five."""
+    post, wt, meta = _search_tables(spark, d)
+    res = S.search(post, wt, meta, "music school").select("url")
+    parts = wt.where(F.col("word").isin("music", "school") & (F.col("tfidf") > 0)).join(res, "url", "left_semi")
+    return parts.groupBy("url").agg(F.slice(F.array_sort(F.collect_list("word")), 1, 5).alias("words"))
+
+
+@query("select distinct lower(trim(word)) as word from vocab where word is not null and lower(trim(word)) <> '' and starts_with(lower(trim(word)), 'ma') order by word limit 8")
+def suggest_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return S.complete(S.dictionary(_t(spark, d, "vocab")), "Ma")
+
+
+@query("select '[' || string_agg('\"' || word || '\"', ',' order by word) || ']' as json from (select distinct lower(trim(word)) as word from vocab where word is not null and starts_with(lower(trim(word)), 'be') order by word limit 8)")
+def suggest_json(spark: SparkSession, d: str) -> DataFrame:
+    words = S.complete(S.dictionary(_t(spark, d, "vocab")), "be")
+    return words.agg(T.json_suggestions(F.array_sort(F.collect_list("word"))).alias("json"))
+
+
+_MISSPELT = ["gude", "markett", "watter", "school", "zzzzzzzzz", "revew"]
+
+
+@query(f"""with v as (select distinct lower(trim(word)) as word from vocab where word is not null and lower(trim(word)) <> ''), t as (select unnest([{", ".join(f"'{w}'" for w in _MISSPELT)}]) as token),
+b as (select token, word, row_number() over (partition by token order by levenshtein(word, token), word) as r from t join v on abs(length(word) - length(token)) <= 2 and levenshtein(word, token) <= 2)
+select t.token, coalesce(b.word, t.token) as suggestion from t left join b on b.token = t.token and b.r = 1""")
+def spell_suggest(spark: SparkSession, d: str) -> DataFrame:
+    return S.spell(S.dictionary(_t(spark, d, "vocab")), spark.createDataFrame([(w,) for w in _MISSPELT], "token string"))
+
+
+@query(r"""select url, regexp_replace(snippet, '(?i)(^|[^\pL\pN])(every)($|[^\pL\pN])', '\1<b>\2</b>\3', 'g') as html from
+ (select url, replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as snippet from page_meta)""")
+def highlight_snippet(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "page_meta").select("url", T.highlight(T.html_escape(F.col("snippet")), F.lit("every")).alias("html"))
+
+
+_PLACES = [(40.7, -74.0), (34.0, -118.2), (37.77, -122.42), (37.8, -122.25), (37.3, -121.9), (39.95, -75.1), (0.0, 0.0)]
+
+
+@query("""select lat, lon, case when lat > 40.3 and lat < 41.1 and lon > -74.5 and lon < -73.3 then 'New York' when lat > 33.7 and lat < 34.4 and lon > -119 and lon < -117.5 then 'Los Angeles'
+when lat > 37.7 and lat < 37.83 and lon > -122.53 and lon < -122.35 then 'San Francisco' when lat > 37.7 and lat < 37.9 and lon > -122.3 and lon < -122.1 then 'Oakland'
+when lat > 37.2 and lat < 37.45 and lon > -122.05 and lon < -121.75 then 'San Jose' when lat > 39.8 and lat < 40.2 and lon > -75.3 and lon < -74.8 then 'Philadelphia' end as city
+from (values """ + ", ".join(f"({a}::double, {b}::double)" for a, b in _PLACES) + ") t(lat, lon)")
+def geo_city(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(_PLACES, "lat double, lon double").select("lat", "lon", T.city_of(F.col("lat"), F.col("lon")).alias("city"))
+
+
+@query("select s_suppkey, round(greatest(0, least(1, (s_acctbal - lo) / (hi - lo))), 6) as scaled from supplier, (select min(s_acctbal) as lo, max(s_acctbal) as hi from supplier)")
+def min_max_scaled(spark: SparkSession, d: str) -> DataFrame:
+    s = _t(spark, d, "supplier")
+    r = s.agg(F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"))
+    return s.join(F.broadcast(r)).select("s_suppkey", F.round(T.min_max(F.col("s_acctbal"), F.col("lo"), F.col("hi")), 6).alias("scaled"))  # one row
+
+
+@query("select date_trunc('day', ts)::date::varchar as day, min(value) as low, max(value) as high, arg_min(value, event_id) as first from events group by 1")
+def daily_rollup(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events")
+    return e.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.min_by("value", "event_id").alias("first"))
+
+
+# ---------------------------------------------------------------- loops and streams
+
+
+@query()
+def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds from the frontier's urls over the stored pages."""
+    return C.crawl(_pages(spark, d), _t(spark, d, "frontier").select("url"), 3)
+
+
+@query()
+def stream_index_incremental(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.streaming.incremental import index_incrementally
+
+    return index_incrementally(stream_table(spark, d, "crawl"), scratch(spark, "index"))
+
+
+@query()
+def host_throttle(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.streaming.incremental import throttle
+
+    f = stream_table(spark, d, "frontier").select(U.url_host(F.col("url")).alias("host"), F.col("queued_at").alias("ts"), F.lit(1.0).alias("delay")).where("host <> '' and ts is not null")
+    return throttle(f, scratch(spark, "throttle"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p2_counts(spark, d)
+    """Ranked search over the stored index, weights and page metadata."""
+    return search_ranked(spark, d)
 
 
 def queries() -> dict[str, Query]:
@@ -55,3 +716,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+
