@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,47 +40,64 @@ def remove_dot_segments(path: Column) -> Column:
     folded = F.aggregate(
         parts,
         F.array().cast("array<string>"),
-        lambda acc, x: F.when(x == ".", acc)
-        .when(x == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc))
-        .otherwise(F.concat(acc, F.array(x))),
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)),
+        lambda acc: F.concat(F.lit("/"), F.array_join(acc, "/"), F.when(last.isin(".", "..") & (F.size(acc) > 0), F.lit("/")).otherwise(F.lit(""))),
     )
-    joined = F.concat(F.lit("/"), F.array_join(folded, "/"), F.when(last.isin(".", "..") & (F.size(folded) > 0), F.lit("/")).otherwise(F.lit("")))
-    return F.when(path.rlike(r"/\.\.?(/|$)"), joined).otherwise(path)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), folded).otherwise(path)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used: expressions in expressions would grow
+    with every use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def normalize_url(url: Column) -> Column:
     """Canonical form of an absolute url: outer blanks gone, scheme and host in lower case, no default port, no
     fragment, dot segments resolved, ``/`` for an empty path. Query, case of the path and a final slash are kept.
     Null for null, empty and blank urls; a text that is not an absolute url is only trimmed and loses its fragment."""
-    u = F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), r"#.*$", "")
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    authority = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?]*)", 1)
-    user = F.regexp_extract(authority, r"^(.*@)", 1)
-    host = F.lower(F.regexp_replace(authority, r"^.*@", ""))
-    host = F.when(scheme == "http", F.regexp_replace(host, r":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, r":(443)?$", "")).otherwise(F.regexp_replace(host, r":$", ""))
-    path = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*([^?]*)", 1)
-    path = F.when(path == "", F.lit("/")).otherwise(remove_dot_segments(path))
-    query = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^?]*(\?.*)$", 1)
-    return F.when((u == "") | u.isNull(), F.lit(None).cast("string")).when(scheme == "", u).otherwise(F.concat(scheme, F.lit("://"), user, host, path, query))
+    return _let(F.regexp_replace(url, r"^\s+|\s+$|\s*#.*$", ""), _canonical)
+
+
+def _canonical(u: Column) -> Column:
+    def put_together(p: Column) -> Column:
+        host = F.when(p.scheme == "http", F.regexp_replace(p.host, r":(80)?$", "")).when(p.scheme == "https", F.regexp_replace(p.host, r":(443)?$", "")).otherwise(F.regexp_replace(p.host, r":$", ""))
+        path = F.when(p.path == "", F.lit("/")).otherwise(remove_dot_segments(p.path))
+        return F.when((u == "") | u.isNull(), F.lit(None).cast("string")).when(p.scheme == "", u).otherwise(F.concat(p.scheme, F.lit("://"), p.user, host, path, p.query))
+
+    parts = F.struct(
+        F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1)).alias("scheme"),
+        F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?@]*@)", 1).alias("user"),
+        F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?@]*@)?([^/?]*)", 1)).alias("host"),
+        F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*([^?]*)", 1).alias("path"),
+        F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^?]*(\?.*)$", 1).alias("query"),
+    )
+    return _let(parts, put_together)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute canonical form of ``href`` seen on the page ``base``; null for empty, ``mailto:`` and ``javascript:``
-    links, for links that are only a fragment of nothing, and for anything that is not http(s) in the end."""
-    h = F.regexp_replace(F.regexp_replace(href, r"^\s+|\s+$", ""), r"#.*$", "")
-    root = F.regexp_extract(base, r"^\s*([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^\s*([A-Za-z][A-Za-z0-9+.\-]*):", 1)
-    path = F.regexp_extract(base, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
-    full = (
-        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(root, h))
-        .when(h.startswith("?"), F.concat(root, F.when(path == "", F.lit("/")).otherwise(path), h))
-        .otherwise(F.concat(root, folder, h))
+    links, for links that are only a fragment, and for anything that is not http(s) in the end."""
+    bare = F.regexp_replace(href, r"^\s+|\s+$|\s*#.*$", "")
+    parts = F.struct(
+        bare.alias("h"),
+        F.regexp_extract(base, r"^\s*([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1).alias("root"),
+        F.regexp_extract(base, r"^\s*([A-Za-z][A-Za-z0-9+.\-]*):", 1).alias("scheme"),
+        F.regexp_extract(base, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1).alias("path"),
     )
-    out = normalize_url(full)
-    return F.when((h == "") | (root == ""), F.lit(None).cast("string")).when(out.rlike(r"^https?://[^/]"), out)
+
+    def full(p: Column) -> Column:
+        folder = F.when(p.path == "", F.lit("/")).otherwise(F.regexp_replace(p.path, r"[^/]*$", ""))
+        out = (
+            F.when(p.h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), p.h)
+            .when(p.h.startswith("//"), F.concat(p.scheme, F.lit(":"), p.h))
+            .when(p.h.startswith("/"), F.concat(p.root, p.h))
+            .when(p.h.startswith("?"), F.concat(p.root, F.when(p.path == "", F.lit("/")).otherwise(p.path), p.h))
+            .otherwise(F.concat(p.root, folder, p.h))
+        )
+        return F.when((p.h != "") & (p.root != ""), out)
+
+    return _let(_let(_let(parts, full), _canonical), lambda x: F.when(x.rlike(r"^https?://[^/]"), x))
 
 
 # Schemes of links that are never followed.
