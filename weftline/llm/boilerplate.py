@@ -12,12 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.dom import Block, blocks, decode, has_html
+from weftline.llm.dom import Block, blocks, decode, has_html, sentence_ends
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "crf_weights.json")
 _CJK = re.compile(r"[぀-ヿ一-鿿가-힯]")
 _END = re.compile(r"[.!?。！？…:;][\"'”’»)\]]*$")
-_SENTENCE_END = re.compile(r"[.!?]\s|[。！？]")
 # Words in class and id attributes that sites use for their parts; others carry no weight.
 _PART_WORDS = frozenset(
     "nav menu footer foot header head top sidebar side aside content main post body entry article text txt share social related more cookie banner consent notice comment comments widget promo ad list links info data crumbs breadcrumb wrap page site story section box".split()
@@ -51,85 +50,122 @@ def _words(text: str) -> int:
     return n if text.isascii() else n + len(_CJK.findall(text)) // 2
 
 
-def _around(path: tuple, known: dict[int, list[str]]) -> list[str]:
+def _around(path: tuple, known: dict[int, tuple]) -> tuple:
+    """The features of the elements around a block, shared by the blocks of one element."""
     x = path[-1]
-    up = known.get(id(path[-2])) if len(path) > 1 else []
-    if up is None:
-        up = known[id(path[-2])] = _around(path[:-1], known)
-    if not x.attrs:
-        return [*up, "a=" + x.tag] if x.tag in _STRUCTURE else up
-    return [*up, *(["a=" + x.tag] if x.tag in _STRUCTURE else []), *_parts(x.attrs)]
+    found = known.get(id(x))
+    if found is None:
+        up = _around(path[:-1], known) if len(path) > 1 else ()
+        if x.tag in _STRUCTURE:
+            up = (*up, "a=" + x.tag)
+        found = known[id(x)] = (*up, *_parts(x.attrs)) if x.attrs else up
+    return found
+
 
+_own_cache: dict[tuple, tuple[str, ...]] = {}
 
-def features(page: list[Block]) -> list[list[str]]:
-    """The features of each block: its element and ancestors, its text, its place to the headline, its neighbours."""
-    out: list[list[str]] = []
+
+def _own(tag: str, share: int, size: str, end: str) -> tuple[str, ...]:
+    key = (tag, share, size, end)
+    found = _own_cache.get(key)
+    if found is None:
+        if len(_own_cache) > 50_000:
+            _own_cache.clear()
+        found = _own_cache[key] = ("1", f"t={tag}", f"l={share}", f"w={size}{end}", f"tw={tag}{size}{end}{share}")
+    return found
+
+
+def features(page: list[Block]) -> list[list[tuple[str, ...]]]:
+    """The features of each block, in groups that many blocks share: its element and text, the elements around it, its
+    place to the headline, its signs, its neighbours."""
+    out: list[list[tuple[str, ...]]] = []
     head = next((b for b in page if b.path and b.path[-1].tag == "h1"), None)
     home = head.path[-2] if head and len(head.path) > 1 else None
     bare = home is None or home.tag in ("body", "html")
     n = len(page)
     links = [_link_share(b) for b in page]
     tags = [b.path[-1].tag if b.path else "-" for b in page]
-    after = rights = False
-    teasers = False
-    around: dict[int, list[str]] = {}  # features of the elements around a block, shared by blocks of one element
+    after = rights = teasers = False
+    around: dict[int, tuple] = {}
+    places: dict[tuple, tuple] = {}
     for i, b in enumerate(page):
         path, text, tag, share = b.path, b.text, tags[i], links[i]
         w = _words(text)
-        size = "1" if w < 4 else "2" if w < 8 else "3" if w < 15 else "4" if w < 40 else "5"
-        end = "e" if _END.search(text[-6:]) else "n"
-        f = ["1", f"t={tag}", f"l={share}", f"w={size}{end}", f"tw={tag}{size}{end}{share}"]
+        f = [_own(tag, share, "1" if w < 4 else "2" if w < 8 else "3" if w < 15 else "4" if w < 40 else "5", "e" if _END.search(text[-6:]) else "n")]
+        if path:
+            f.append(_around(path, around))
         if b is head:
             after = True
-            f.append("headline")
-        if head is not None:
-            f.append("after" if after else "before")
-            inside = not bare and home in path
-            f.append(("in" if inside else "out") if not bare else ("bare" + ("1" if after else "0")))
-            if inside or bare:
-                at = path.index(home) + 1 if home in path else 0
-                f.append("deep=" + "/".join(x.tag for x in path[at:][:4]) + ("+" if after else "-"))
-        else:
-            f.append("nohead")
-        if path:
-            shared = around.get(id(path[-1]))
-            if shared is None:
-                shared = around[id(path[-1])] = _around(path, around)
-            f += shared
-        c = text[0]
-        if c == "©" or "©" in text[:40]:
+        key = (id(path[-1]) if path else 0, after)
+        place = places.get(key)
+        if place is None:
+            if head is not None:
+                inside = not bare and home in path
+                place = ("after" if after else "before", ("in" if inside else "out") if not bare else "bare1" if after else "bare0")
+                if inside or bare:
+                    at = path.index(home) + 1 if home in path else 0
+                    place += ("deep=" + "/".join([x.tag for x in path[at:][:4]]) + ("+" if after else "-"),)
+            else:
+                place = ("nohead",)
+            places[key] = place
+        f.append(place)
+        signs = []
+        if b is head:
+            signs.append("headline")
+        if "©" in text[:40]:
             rights = True
-            f.append("copyright")
+            signs.append("copyright")
         if rights:
-            f.append("rights")
+            signs.append("rights")
         if " | " in text or " > " in text[:60]:
-            f.append("bars")
+            signs.append("bars")
         if b.control:
-            f.append("control")
+            signs.append("control")
         if tag in _HEADINGS and i + 1 < n and links[i + 1] == 3:
             teasers = True
-            f.append("teasehead")
+            signs.append("teasehead")
         if teasers:
-            f.append("teasers")
+            signs.append("teasers")
             if bare:
-                f.append("bareteasers")
+                signs.append("bareteasers")
         if len(path) > 1 and i and links[i - 1] == 3 and page[i - 1].path and page[i - 1].path[-1] is path[-2]:
-            f.append("underlink")
-        if len(_SENTENCE_END.findall(text)) > 1:
-            f.append("sentences")
-        if "class=\"u\"" in (path[-1].attrs if path else ""):
-            f.append("utility")
-        f.append(f"pt={tags[i - 1] if i else '^'}{links[i - 1] if i else ''}")
-        f.append(f"nt={tags[i + 1] if i + 1 < n else '$'}{links[i + 1] if i + 1 < n else ''}")
+            signs.append("underlink")
+        if sentence_ends(text) > 0:
+            signs.append("sentences")
+        if path and path[-1].attrs and "class=\"u\"" in path[-1].attrs:
+            signs.append("utility")
+        f.append(tuple(signs))
+        f.append(("pt=^",) if not i else _beside("pt=", tags[i - 1], links[i - 1]))
+        f.append(("nt=$",) if i + 1 == n else _beside("nt=", tags[i + 1], links[i + 1]))
         out.append(f)
     return out
 
 
+_beside_cache: dict[tuple, tuple[str]] = {}
+
+
+def _beside(side: str, tag: str, share: int) -> tuple[str]:
+    key = (side, tag, share)
+    found = _beside_cache.get(key)
+    if found is None:
+        if len(_beside_cache) > 50_000:
+            _beside_cache.clear()
+        found = _beside_cache[key] = (f"{side}{tag}{share}",)
+    return found
+
+
 class Crf:
     """Two states, site and main: a weight of each feature for main against site, and weights of state changes."""
 
     def __init__(self, weights: dict[str, float], change: list[list[float]]):
         self.weights, self.change = weights, change
+        self.sums: dict[tuple[str, ...], float] = {}  # of groups of features
+
+    def _sum(self, group: tuple[str, ...]) -> float:
+        if len(self.sums) > 200_000:
+            self.sums.clear()
+        got = self.sums[group] = sum(self.weights.get(x, 0.0) for x in group)
+        return got
 
     @classmethod
     def load(cls, path: str = WEIGHTS) -> Crf:
@@ -137,17 +173,19 @@ class Crf:
             d = json.load(f)
         return cls(d["weights"], d["change"])
 
-    def decode(self, feats: list[list[str]]) -> list[bool]:
+    def decode(self, feats: list[list[tuple[str, ...]]]) -> list[bool]:
         """The best sequence of states."""
         if not feats:
             return []
-        weights = self.weights
+        sums = self.sums
         (a00, a01), (a10, a11) = self.change
         s0 = s1 = 0.0
         back: list[tuple[bool, bool]] = []
         first = True
         for f in feats:
-            u = sum([weights[x] for x in f if x in weights])
+            u = 0.0
+            for g in f:
+                u += sums[g] if g in sums else self._sum(g)
             if first:
                 s0, s1, first = 0.0, u, False
                 continue

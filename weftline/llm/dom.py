@@ -49,6 +49,17 @@ def has_html(text: str) -> bool:
     return m is not None and (m.group(0).lower().startswith(("<!doctype", "<html", "<body", "<head")) or text[: m.start()].strip() == "" and "</" in text)
 
 
+def sentence_ends(text: str) -> int:
+    """How many sentences end inside a text: marks with a blank after them, or marks of scripts without blanks that are
+    not at the end."""
+    n = text.count(". ") + text.count("? ") + text.count("! ")
+    if '"' in text or ")" in text or "»" in text or "”" in text:
+        n += text.count('." ') + text.count('?" ') + text.count(".) ") + text.count(".» ") + text.count(".” ")
+    if not text.isascii():
+        n += text.count("。", 0, -1) + text.count("！", 0, -1) + text.count("？", 0, -1)
+    return n
+
+
 class Block:
     """A leaf block: text between two block tags, the elements around it (outermost first), how many characters are
     inside links and inside code, whether a form control stands in the same element; ``plain`` is the text without its

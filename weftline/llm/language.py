@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.boilerplate import main_blocks
-from weftline.llm.dom import attributes, decode, has_html
+from weftline.llm.dom import attributes, decode, has_html, sentence_ends
 from weftline.llm.encode import TOKENIZER_DIR
 
 MAX_PIECE = 12  # characters
@@ -205,7 +205,7 @@ def label_text(model: Model, paragraphs: list[str], by_sentence: bool = False) -
     items: list[tuple[int, int, int]] = []
     scores: list[np.ndarray] = []
     for k, p in enumerate(paragraphs):
-        n = len(_SENTENCE.findall(p.rstrip())) + 1
+        n = sentence_ends(p) + 1
         whole = None
         if n == 1 or not by_sentence:
             whole = model.text(p)

@@ -84,7 +84,7 @@ def load_pages(folder: str, limit: int = MAX_PAGES) -> list[list[Block]]:
 def fit(pages: list[list[Block]], labels: list[list[bool]], rounds: int = 150, l2: float = 2.0) -> Crf:
     """Maximum likelihood with a quadratic penalty; exact gradients by forward and backward sums over all pages at
     once, steps by Adam."""
-    feats = [features(p) for p in pages]
+    feats = [[[x for g in f for x in g] for f in features(p)] for p in pages]
     counts = Counter(x for p in feats for f in p for x in set(f))
     names = sorted(k for k, c in counts.items() if c >= MIN_COUNT)
     index = {k: i for i, k in enumerate(names)}
