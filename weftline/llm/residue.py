@@ -81,7 +81,7 @@ MESSAGES = {
 FILLER = {
     "latin": r"\blorem\b|\bipsum\b|dolor sit amet",
     "stand-in": r"(?:dummy|sample|placeholder|filler) (?:copy|text)|replace (?:it|this) before launch|your (?:content|text) here|text goes here|click here to (?:add|edit)|double click to edit|edit me\b|this is a paragraph\W*$|body copy|^\W*(?:headline (?:one|two|\d)|subline|header here)\W*$|describe what you do|todo: ?write|\btbd\b|item name ?/ ?item description|blindtext|hier steht bald|texte de remplacement|faux[- ]texte|texto de (?:ejemplo|relleno|exemplo)|testo (?:di esempio|segnaposto)|voorbeeldtekst|текст-заполнитель|ダミーテキスト|サンプルテキスト",
-    "keys": r"^\W*(?:(?:asdf|qwer|jkl|xxx+|test|foo|bar|blah|abc|zzz+|aaa+)\W*(?:\d+\W*)?){2,}$",
+    "keys": r"^\W*(?:(?:asdf|qwer|jkl|x{3,}|test|foo|bar|blah|abc|z{3,}|a{3,})(?:[\W\d]+|$)){2,}$",
 }
 # What stands around such messages and is no content either.
 _CHROME = re.compile(
