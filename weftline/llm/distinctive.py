@@ -13,7 +13,8 @@ def distinct_terms(postings: DataFrame) -> DataFrame:
     other spellings, the largest tf counts; a null or non-positive tf counts as 1; null words, blank words and null
     urls are left out."""
     w = postings.select("url", normal_word(F.col("word")).alias("word"), F.greatest(F.coalesce(F.col("tf"), F.lit(1)), F.lit(1)).cast("bigint").alias("tf"))
-    return w.where(F.col("url").isNotNull() & (F.col("word") != "")).groupBy("url", "word").agg(F.max("tf").alias("tf"))
+    # By url alone, so that a page's words end up together and later counts of pages see each url once.
+    return w.where(F.col("url").isNotNull() & (F.col("word") != "")).repartition("url").groupBy("url", "word").agg(F.max("tf").alias("tf"))
 
 
 def term_scores(terms: DataFrame, only: DataFrame | None = None, share: float = 1e-4, spread: int = 1024) -> DataFrame:
