@@ -117,7 +117,7 @@ def test_page_languages(spark, model):
     ("text", "kind"),
     [
         ("a <b>bold</b> word", "html"), ("x &nbsp; y", "html"), ("the haven&#8217;s", "html"), ("a <br /> b", "html"), ("<!-- c -->", "html"),
-        ("a **bold** word", "markdown"), ("~~gone~~ now", "markdown"), ("see [this](/a/b)", "markdown"), ("## Head of it", "markdown"), ("| a | |---|:--| | 4 |", "markdown"), ("``` x = 1 ```", "markdown"), ("Head of it ======= text", "markdown"),
+        ("a **bold** word", "markdown"), ("~~gone~~ now", "markdown"), ("see [this](/a/b)", "markdown"), ("## Head of it", "markdown"), ("| a | |---|:--| | 4 |", "markdown"), ("``` x = 1 ```", "markdown"), ("Head of it ======= text", "markdown"), ("It opens. - The first one goes. - The second one stays.", "markdown"),
         ("a [[Link|word]] here", "wiki"), ("{{cite|x|page=12}}", "wiki"), ("== Head of it == text", "wiki"), ("some '''bold''' text", "wiki"), ("{| class=\"x\" ! a !! b |- | 3 |}", "wiki"),
         (r"\section{Head} text", "latex"), (r"end of it.\footnote{note}", "latex"), (r"$x_{6}^2 + \alpha y$", "latex"), (r"\[ \frac{a}{b} \]", "latex"), (r"(see Fig.~\ref{fig:a})", "latex"),
     ],

@@ -27,6 +27,7 @@ KINDS = ("html", "markdown", "wiki", "latex")
 _TAGS = "a abbr address article aside b blockquote body br button caption center cite code dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav ol option p pre q s script section select small span strong style sub summary sup table tbody td textarea tfoot th thead title tr tt u ul video".replace(" ", "|")
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});")
 _GREEK = "alpha|beta|gamma|delta|epsilon|theta|lambda|mu|pi|sigma|phi|omega|sum|int|frac|sqrt|leq|geq|neq|cdot|times|infty|partial|item|maketitle|noindent|newpage|par|ldots|quad"
+_BULLET = r"(?:^|(?<=[.!?。！？\"”»)] ))- (?=[\"“«]?[^\W\d_])"
 PATTERNS = {
     "html": [
         rf"</?(?:{_TAGS})(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*\s*/?>",
@@ -46,6 +47,7 @@ PATTERNS = {
         r"(?<=\S )={4,}(?=\s|$)|^={4,}$|^-{4,}$",
         r"(?:^|(?<=\s))- \[[ xX]\] ",
         r"^> (?=\S)",
+        _BULLET + r"[^\n]*?" + _BULLET,  # two list items at least, run together
     ],
     "wiki": [
         r"\[\[(?=[^\W\d]|:)[^\[\]\n]{1,400}?(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]",
@@ -66,7 +68,7 @@ PATTERNS = {
 _COMPILED = {k: re.compile("|".join(f"(?:{p})" for p in ps if "\\1" not in p), re.S | re.I if k == "html" else re.S | re.M) for k, ps in PATTERNS.items()}
 _WIKI_HEADING = re.compile(PATTERNS["wiki"][3], re.M)
 # One character run that every pattern of a kind needs; a text without it is not searched.
-_NEEDS = {"html": ("<", "&"), "markdown": ("**", "__", "~~", "#", "`", "](", "][", "]:", "--", "===", "*", "_", "[", ">"), "wiki": ("[[", "{{", "{|", "|-", "|}", "==", "''", "[http", "<"), "latex": ("\\", "$")}
+_NEEDS = {"html": ("<", "&"), "markdown": ("**", "__", "~~", "#", "`", "](", "][", "]:", "--", "===", "*", "_", "[", ">", "- "), "wiki": ("[[", "{{", "{|", "|-", "|}", "==", "''", "[http", "<"), "latex": ("\\", "$")}
 
 
 def hits(text: str, kind: str) -> int:
@@ -175,7 +177,7 @@ def own_blocks(text: str, templates) -> list[Block]:
 
 
 # What must occur in a page's source, if anything in it can be visible markup.
-_SOURCE = re.compile(r"&lt;|&amp;[#\w]|&#\w|\*\S|__|~~|#\s|`|\]\(|\]\[|--\||--:|===|\[\[|\{\{|\{\||==|''|\\[a-zA-Z\[(]|\$\S|\b_\w|\[http|^&gt;", re.M)
+_SOURCE = re.compile(r"^\s*- \S|&lt;|&amp;[#\w]|&#\w|\*\S|__|~~|#\s|`|\]\(|\]\[|--\||--:|===|\[\[|\{\{|\{\||==|''|\\[a-zA-Z\[(]|\$\S|\b_\w|\[http|^&gt;", re.M)
 
 
 def find_markup(pages: DataFrame, id_col: str = "crawl_id", sent_at_most: int = SENT_AT_MOST, clean: bool = False) -> DataFrame:
@@ -254,6 +256,8 @@ def clean_text(text: str) -> str:
     t = re.sub(r"<h([1-6])\b[^>]*>", lambda m: "\n" + "#" * int(m.group(1)) + " ", t, flags=re.I)
     t = re.compile(PATTERNS["html"][0], re.I).sub("", t)
     t = _ENTITY.sub(lambda m: unescape(m.group(0)), t)
+    if re.search(_BULLET + r"[^\n]*?" + _BULLET, t):
+        t = re.sub(_BULLET, "\n- ", t)
     t = re.sub(r"\{\|[^\n]*?(?=\n|\s!|\s\|)|\|\}|^\|-.*$|(?<=\s)\|-(?=\s)", " ", t, flags=re.M)
     t = re.sub(r"\[\[(?:File|Image|Category|Datei|Fichier):[^\[\]|]*(?:\|(?:thumb|left|right|\d+px))*\|?([^\[\]]*)\]\]", r"\1", t)
     t = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\W\d][^\[\]|\n]*)\]\]", r"\1", t)

@@ -70,7 +70,7 @@ _ENABLE = r"(?:enabl\w+|activ\w+|aktivier\w+|attiv\w+|abilit\w+|allow\w*|permit\
 _DISABLED = r"(?:disabl\w+|switched off|turned off|blocked|not support\w*|deaktivier\w*|ausgeschaltet|désactiv\w+|desactivad\w*|desativad\w*|disabilitat\w*|отключ\w+|uitgeschakeld|無効)"
 MESSAGES = {
     "scripts": f"{_ENABLE}.{{0,60}}{_SCRIPT}|{_SCRIPT}.{{0,60}}(?:{_ENABLE}|{_DISABLED})|(?:turn|switch) it on (?:in your browser|and (?:refresh|reload))|some parts of this site will not work|(?:enable|allow|accept) cookies",
-    "not found": r"^\W*(?:(?:sorry|oops)\W+)?(?:the|this) \w+ (?:you (?:asked for|requested) )?(?:has been (?:deleted|removed|moved)|was (?:deleted|removed|moved)|no longer exists|has expired|is gone|is not available|could not be (?:found|loaded|shown)|cannot be (?:found|loaded|shown)|does not exist|failed to load)\b|\bhttp [45]\d\d\b|\b(?:page|address|listing|link|document|file|url|item|article|product)\b.{0,60}\b(?:not (?:be )?found|no longer exists?|does not exist|removed|moved|never existed|cannot be shown|has expired|is gone|not available|unavailable)|nothing lives at this address|page not found|page introuvable|(?:page|adresse) (?:demandée )?(?:est )?introuvable|seite (?:wurde )?nicht gefunden|link ist (?:veraltet|falsch)|(?:no se ha encontrado|no se encontró) la página|página no encontrada|página não encontrada|pagina non trovata|collegamento non è più valido|pagina niet gevonden|страница не найдена|ページが見つかりません",
+    "not found": r"\b(?:the|this|that) \w+ (?:you (?:asked for|requested) )?(?:has been (?:deleted|removed|moved)|was (?:deleted|removed|moved)|no longer exists|has expired|is gone|is not available|could not be (?:found|loaded|shown)|cannot be (?:found|loaded|shown)|does not exist|failed to load)\b|\bhttp [45]\d\d\b|\b(?:page|address|listing|link|document|file|url|item|article|product)\b.{0,60}\b(?:not (?:be )?found|no longer exists?|does not exist|removed|moved|never existed|cannot be shown|has expired|is gone|not available|unavailable)|nothing lives at this address|page not found|page introuvable|(?:page|adresse) (?:demandée )?(?:est )?introuvable|seite (?:wurde )?nicht gefunden|link ist (?:veraltet|falsch)|(?:no se ha encontrado|no se encontró) la página|página no encontrada|página não encontrada|pagina non trovata|collegamento non è più valido|pagina niet gevonden|страница не найдена|ページが見つかりません",
     "check address": r"vérifiez l'adresse|compruebe la dirección|verifique o endereço|controleer het adres|проверьте адрес|アドレスをご確認|check the (?:address|url|link)",
     "server": r"\b(?:error|fehler|erreur) \d{3}\b|\b[45]\d\d\b ?(?:-|:|–)? ?(?:the page|bad gateway|service|forbidden|not found|internal|gateway|unauthori[sz]ed|too many|unavailable)|something went wrong|internal server error|erreur interne|ein fehler ist aufgetreten|laden sie die seite neu|timed out|time-?out|bad gateway|service (?:temporarily )?unavailable|temporarily unavailable|could not connect|cannot connect|connection was (?:closed|reset|refused)|is being serviced|down for maintenance|under maintenance|failed to load|could not be loaded|try again (?:later|in)|réessayer plus tard|wartungsarbeiten|en mantenimiento|certificate of this host|upstream host",
     "stack trace": r"traceback \(most recent call last\)|(?:exception at |error: ?')|fatal error:|stack trace:|warning: could not",
