@@ -70,7 +70,7 @@ class Model:
         """The row of ``table`` with the word's log probability under each language: the sum over segmentations.
         Words are kept while they fit; the table is a cache and may begin anew."""
         k = len(self.rows)
-        if k == len(self.table):
+        if k + 2 >= len(self.table):  # the last rows stay free: -1 and -2 stand for no row
             if k >= 1 << 18:
                 return -1
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -81,19 +81,26 @@ class Model:
     def log_prob(self, word: str) -> np.ndarray:
         return _forward(word if _unspaced(word) else " " + word, self.prob, self.floor)
 
-    def text(self, text: str) -> np.ndarray:
-        """Log probability of a text's words under each language."""
-        words = words_of(text)
-        if not words:
-            return np.zeros(len(self.langs))
-        rows = self.rows
-        at = [rows[w] if w in rows else self.word(w) for w in words]
-        total = self.table.take(at, axis=0).sum(axis=0)
+    def texts(self, texts: list[str]) -> np.ndarray:
+        """Log probability of the words of each text under each language: a row for each text, of zeros for one without
+        words."""
+        rows, at, starts = self.rows, [], []
+        for t in texts:
+            starts.append(len(at))
+            at += [rows[w] if w in rows else self.word(w) for w in words_of(t)]
+            at.append(-2)  # a row of zeros ends each text
+        if not texts:
+            return np.zeros((0, len(self.langs)))
+        picked = self.table.take(at, axis=0, mode="wrap")
+        picked[[s - 1 for s in starts[1:]] + [len(at) - 1]] = 0.0
         if -1 in at:  # beyond the cache
-            for w, k in zip(words, at):
-                if k < 0:
-                    total += self.log_prob(w) - self.table[-1]
-        return total
+            words = [w for t in texts for w in [*words_of(t), ""]]
+            for k in [k for k, a in enumerate(at) if a == -1]:
+                picked[k] = self.log_prob(words[k])
+        return np.add.reduceat(picked, starts, axis=0)
+
+    def text(self, text: str) -> np.ndarray:
+        return self.texts([text])[0]
 
 
 def words_of(text: str) -> list[str]:
@@ -107,22 +114,19 @@ def _unspaced(word: str) -> bool:
 
 
 def _forward(s: str, prob: dict[str, np.ndarray], floor: np.ndarray) -> np.ndarray:
-    """log sum over segmentations, for all languages at once; rescaled on the way, so long words do not underflow."""
-    n = len(s)
-    alpha = [np.ones_like(floor)] + [None] * n
+    """log sum over segmentations, for all languages at once; long words are rescaled on the way and do not underflow."""
+    n, get = len(s), prob.get
+    alpha = [np.ones_like(floor)]
     scale = 0.0
     for j in range(1, n + 1):
-        total = np.zeros_like(floor)
-        for i in range(max(0, j - MAX_PIECE), j):
-            p = prob.get(s[i:j])
-            if p is None:
-                if j - i > 1:
-                    continue
-                p = floor
-            total = total + alpha[i] * p
-        alpha[j] = total
-        top = total.max()
-        if top < 1e-200:  # rescale the window that later steps can still see
+        p = get(s[j - 1])
+        total = alpha[j - 1] * (floor if p is None else p)
+        for i in range(max(0, j - MAX_PIECE), j - 1):
+            p = get(s[i:j])
+            if p is not None:
+                total += alpha[i] * p
+        alpha.append(total)
+        if n > 20 and total.max() < 1e-200:  # rescale the window that later steps can still see
             for i in range(max(0, j - MAX_PIECE), j + 1):
                 alpha[i] = alpha[i] * 1e200
             scale -= 200 * math.log(10)
@@ -202,24 +206,34 @@ def label_text(model: Model, paragraphs: list[str], by_sentence: bool = False) -
 
     The languages are the best path through all parts of the text, where each change has its cost. The confidence is
     the probability of the language among all, for the part with the neighbours that the path puts in the same one."""
-    items: list[tuple[int, int, int]] = []
-    scores: list[np.ndarray] = []
-    for k, p in enumerate(paragraphs):
-        n = sentence_ends(p) + 1
-        whole = None
-        if n == 1 or not by_sentence:
-            whole = model.text(p)
-            if n > 1:
-                second, first = np.partition(whole, -2)[-2:]
-                if first - second < CLEAR * (p.count(" ") + 1):
-                    whole = None
-        for part, count in [(p, n)] if whole is not None else [(x, 1) for x in sentences(p)]:
-            v = whole if whole is not None else model.text(part)
-            if v[0] < 0:
-                items.append((k, count, len(part)))
-                scores.append(v)
+    counts = [sentence_ends(p) + 1 for p in paragraphs]
+    if by_sentence:
+        parts = [(k, 1, x) for k, p in enumerate(paragraphs) for x in sentences(p)]
+        table = model.texts([x for _, _, x in parts])
+    else:
+        parts = [(k, n, p) for k, (n, p) in enumerate(zip(counts, paragraphs))]
+        table = model.texts(paragraphs)
+        order = np.partition(table, -2, axis=1)[:, -2:] if len(table) else np.zeros((0, 2))
+        lead = (order[:, 1] - order[:, 0]).tolist()
+        vague = [k for k, n, p in parts if n > 1 and lead[k] < CLEAR * (p.count(" ") + 1)]
+        if vague:
+            split = [(k, 1, x) for k in vague for x in sentences(paragraphs[k])]
+            more = model.texts([x for _, _, x in split])
+            both = [(part, row) for part, row in zip(parts, table) if part[0] not in vague] + list(zip(split, more))
+            both.sort(key=lambda b: b[0][0])
+            parts, table = [b[0] for b in both], np.array([b[1] for b in both])
+    keep = table[:, 0] < 0 if len(table) else np.zeros(0, bool)
+    if not keep.all():
+        parts, table = [p for p, k in zip(parts, keep) if k], table[keep]
+    items = [(k, n, len(p)) for k, n, p in parts]
+    scores = table
     if not items:
         return []
+    firsts = table.argmax(axis=1)
+    if (firsts == firsts[0]).all():  # the best path never changes
+        total = table.sum(axis=0)
+        conf = 1.0 / float(np.exp(np.clip(total - total[firsts[0]], -700, 700)).sum())
+        return [(*x, model.langs[firsts[0]], conf) for x in items]
     best, back = scores[0], []
     for t in range(1, len(items)):
         cost = WITHIN if items[t][0] == items[t - 1][0] else BETWEEN
