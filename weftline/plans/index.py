@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import html as H
 from weftline.functions.text import document_terms
 from weftline.operators.salted import heavy_keys
+from weftline.session import cut
 
 MAX_URLS, MAX_SHARE, MIN_COUNT, TERMS_PER_PAGE = 100, 0.15, 2, 60
 
@@ -64,12 +65,24 @@ def tfidf(counts: DataFrame, vocab: DataFrame, total_pages: DataFrame) -> DataFr
     return sized.select("word", "url", tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("tfidf")).where(F.col("idf") > 0)
 
 
-def build(crawl: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(index, vocabulary, weights) of a crawl. Lazy; write the index before using it more than once."""
+def page_counts(crawl: DataFrame) -> DataFrame:
+    """(url, part, word, tf): the words of each url's latest page, "index" and "weights" parts with their own body text
+    and least length. Pages are shuffled once, by url, to find the latest; both parts are read from them in the same
+    pass and counted where they are, without another shuffle. Written, because three later steps read it."""
     pages = latest_pages(crawl)
-    total = pages.agg(F.count("*").alias("pages"))
-    for_index = pages.where((F.octet_length("page") >= H.LEAST_BYTES["index"]) & F.col("url").rlike("^(?i)https?://"))
-    index = inverted_index(term_counts(for_index, H.body_for_index(H.page_text(F.col("page")))), total)
+    text, size = H.page_text(F.col("page")), F.octet_length("page")
+    none = F.array().cast("array<string>")
+    of_index = F.when((size >= H.LEAST_BYTES["index"]) & F.col("url").rlike("^(?i)https?://"), document_terms(H.body_for_index(text))).otherwise(none)
+    of_weights = F.when(size >= H.LEAST_BYTES["tfidf"], document_terms(H.body_for_tfidf(text))).otherwise(none)
+    both = pages.select("url", F.map_from_arrays(F.array(F.lit("index"), F.lit("weights")), F.array(of_index, of_weights)).alias("m"))
+    words = both.select("url", F.explode("m").alias("part", "words")).select("url", "part", F.explode("words").alias("word"))
+    return cut(words.groupBy("url", "part", "word").agg(F.count("*").alias("tf")), "counts")
+
+
+def build(crawl: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, vocabulary, weights) of a crawl. The words of the pages are counted and written now, the rest is lazy."""
+    counts = page_counts(crawl)
+    total = crawl.where(F.col("page").isNotNull()).agg(F.count_distinct("url").alias("pages"))
+    index = inverted_index(counts.where("part = 'index'").select("url", "word", "tf"), total)
     vocab = vocabulary(index)
-    for_weights = pages.where(F.octet_length("page") >= H.LEAST_BYTES["tfidf"])
-    return index, vocab, tfidf(term_counts(for_weights, H.body_for_tfidf(H.page_text(F.col("page")))), vocab, total)
+    return index, vocab, tfidf(counts.where("part = 'weights'").select("url", "word", "tf"), vocab, total)

@@ -45,7 +45,8 @@ def search(postings: DataFrame, tfidf: DataFrame, meta: DataFrame, query: str, c
     cand = candidates(postings, words) if words else postings.select("url").limit(0)
     mean = tfidf.where(F.col("word").isin(*sorted(set(words))) & (F.col("tfidf") > 0)) if words else tfidf.limit(0)
     mean = mean.groupBy("url").agg(F.avg("tfidf").alias("tfidf"))
-    m = meta.select("url", F.col("title").alias("_t"), F.col("snippet").alias("_s"), F.col("pagerank").alias("_p"))
+    # The semi-join goes below whatever window or aggregate picks each url's metadata: only candidates are sorted.
+    m = meta.join(cand, "url", "left_semi").select("url", F.col("title").alias("_t"), F.col("snippet").alias("_s"), F.col("pagerank").alias("_p"))
     full = cand.join(mean, "url", "left").join(m, "url", "left").select(
         "url",
         F.coalesce(F.nullif(F.trim("_t"), F.lit("")), F.col("url")).alias("title"),
