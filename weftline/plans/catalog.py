@@ -597,7 +597,7 @@ def _search_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, D
     post = _t(spark, d, "postings").select(normal_word(F.col("word")).alias("word"), "url", "tf").where("word is not null")
     good = F.when((F.col("tfidf") > 0) & ~F.isnan("tfidf"), F.col("tfidf"))
     wt = _t(spark, d, "tfidf").select(normal_word(F.col("word")).alias("word"), "url", good.alias("tfidf")).where("word is not null").groupBy("word", "url").agg(F.max("tfidf").alias("tfidf"))
-    return post, wt, S.latest_meta(_t(spark, d, "page_meta"))
+    return post, wt, _t(spark, d, "page_meta")
 
 
 @query(f"with {_META}, {_POST}, {_search_sql(['guide', 'water'])} select url, title, round(score, 6) as score from best order by best.score desc, url limit 10")

@@ -39,14 +39,15 @@ def score(pagerank: Column, tfidf: Column, title: Column, url: Column, snippet:
 def search(postings: DataFrame, tfidf: DataFrame, meta: DataFrame, query: str, completion: Column | None = None, city: str | None = None) -> DataFrame:
     """(url, title, snippet, pagerank, tfidf, score) of all results: pages with all words of the query, of pages with
     the same title the best. No words, no rows. Missing metadata get defaults: rank 0.1, the url as title, "..." as
-    snippet. ``meta`` has a row for each url at most."""
+    snippet. ``meta`` has a row for each url at most, or a column ``ranked_at`` by which the latest one counts."""
     words = words_of_query(query)
     done = completion if completion is not None else F.lit(1.0)
     cand = candidates(postings, words) if words else postings.select("url").limit(0)
     mean = tfidf.where(F.col("word").isin(*sorted(set(words))) & (F.col("tfidf") > 0)) if words else tfidf.limit(0)
     mean = mean.groupBy("url").agg(F.avg("tfidf").alias("tfidf"))
-    # The semi-join goes below whatever window or aggregate picks each url's metadata: only candidates are sorted.
-    m = meta.join(cand, "url", "left_semi").select("url", F.col("title").alias("_t"), F.col("snippet").alias("_s"), F.col("pagerank").alias("_p"))
+    if "ranked_at" in meta.columns:  # candidates first, so that only their metadata are sorted
+        meta = latest_meta(meta.join(cand, "url", "left_semi"))
+    m = meta.select("url", F.col("title").alias("_t"), F.col("snippet").alias("_s"), F.col("pagerank").alias("_p"))
     full = cand.join(mean, "url", "left").join(m, "url", "left").select(
         "url",
         F.coalesce(F.nullif(F.trim("_t"), F.lit("")), F.col("url")).alias("title"),
