@@ -8,7 +8,7 @@ from weftline.session import build_session
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
-    s = build_session("tests", "local[4]", 4, **{"spark.checkpoint.dir": f"file://{shared}", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "3g"})
+    s = build_session("tests", "local[4]", 4, **{"spark.checkpoint.dir": f"file://{shared}", "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": f"{shared}/warehouse", "spark.driver.memory": "3g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -118,3 +118,27 @@ def test_number_rows(spark):
     for g in (True, False):
         assert sorted(r["n"] for r in got if r["g"] is g) == list(range(sum(r["g"] is g for r in got)))
     assert number_rows(df.limit(0), ["g"], ["id"], "n").count() == 0
+
+
+def test_save_as_table(spark):
+    name = "saved_pairs_test"
+    spark.sql(f"drop table if exists {name}")
+    pairs = PairDataset(spark.createDataFrame([("k", "a"), ("k", "b")], "key string, value string"))
+    pairs.save_as_table(name)
+    assert rows(spark.table(name)) == [("k", "b")]
+    with pytest.raises(Exception, match="already exists"):
+        Dataset(spark.table(name)).save_as_table(name)
+    spark.sql(f"drop table {name}")
+
+
+def test_fetch(spark):
+    from weftline.sources.fetch import fetch
+
+    def web(url):
+        if url == "boom":
+            raise OSError(url)
+        return {"a": (200, "Text/HTML; charset=utf-8", b"x" * 10), "b": (200, "image/png", b"y"), "c": (404, "text/html", b"z")}.get(url)
+
+    df = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("boom",), (None,)], "url string")
+    got = {r["url"]: (r["response_code"], bytes(r["page"]) if r["page"] else None, r["length"]) for r in fetch(df, web, 4).collect()}
+    assert got == {"a": (200, b"xxxx", 10), "b": (200, None, 1), "c": (404, None, 1), "d": (None, None, None), "boom": (None, None, None)}

@@ -681,6 +681,56 @@ def daily_rollup(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.min_by("value", "event_id").alias("first"))
 
 
+@query(rf"""select url, w as word, count(*) as n from (select url, unnest(string_split_regex(lower(title), '\s+')) as w from page_meta where title is not null) where w <> '' and w not in ({_STOP}) group by 1, 2""")
+def query_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Titles taken apart as queries are."""
+    words = _t(spark, d, "page_meta").select("url", F.explode(T.query_terms(F.col("title"))).alias("word"))
+    return words.groupBy("url", "word").agg(F.count("*").alias("n"))
+
+
+@query("""select url, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as html from page_meta""")
+def escaped_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "page_meta").select("url", T.html_escape(F.col("title")).alias("html"))
+
+
+_WRAPPED = ["https://urldefense.com/v3/__https%3A%2F%2Fx.y%2Fz__;!x", "https://urldefense.com/v3/none", "http://h/a"]
+
+
+@query("select * from (values ('https://urldefense.com/v3/__https%3A%2F%2Fx.y%2Fz__;!x', 'https://x.y/z'), ('https://urldefense.com/v3/none', null), ('http://h/a', 'http://h/a')) t(url, target)")
+def unwrapped_urls(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(u,) for u in _WRAPPED], "url string").select("url", U.unwrap_redirect(F.col("url")).alias("target"))
+
+
+@query("select url, sha1(url) as id from visited where url is not null")
+def surrogate_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "visited").where("url is not null").select("url", T.surrogate_id(F.col("url")).alias("id"))
+
+
+@query("select word, segment, df from vocab where word >= 'm' order by word, segment limit 11")
+def table_browser(spark: SparkSession, d: str) -> DataFrame:
+    """A page of a table from a key on, in order of the key, and one row more to tell that it goes on."""
+    return kv.scan(_t(spark, d, "vocab"), "m", key="word").select("word", "segment", "df").orderBy("word", "segment").limit(11)
+
+
+@query("select round(greatest(0, least(1, ((select count(distinct url) from tfidf) - 1)::double / (select count(distinct url) from page_meta))), 6) as ratio")
+def build_progress(spark: SparkSession, d: str) -> DataFrame:
+    done = _t(spark, d, "tfidf").select("url").where("url is not null").distinct()
+    total = _t(spark, d, "page_meta").agg(F.count_distinct("url")).first()[0]
+    return spark.range(1).select(F.round(S.completion_ratio(done, total), 6).alias("ratio"))
+
+
+@query("select url, title[1:0] || coalesce(w[1], '') as a, coalesce(w[2], w[1]) as b, coalesce(w[3], w[1]) as c from (select url, title, list_filter(string_split_regex(trim(title), '\\s+'), lambda x: x <> '') as w from page_meta where title is not null) where len(w) > 0")
+def keyword_triples(spark: SparkSession, d: str) -> DataFrame:
+    k = _t(spark, d, "page_meta").select("url", T.three_keywords(F.col("title")).alias("k")).where(F.size("k") > 0)
+    return k.select("url", F.col("k")[0].alias("a"), F.col("k")[1].alias("b"), F.col("k")[2].alias("c"))
+
+
+@query("select * from (values ('{\"address\":{\"town\":\"T\",\"county\":\"C\"}}', 'T'), ('{\"city\":\"X\"}', 'X'), ('{}', null)) t(json, city)")
+def city_from_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = [('{"address":{"town":"T","county":"C"}}',), ('{"city":"X"}',), ("{}",)]
+    return spark.createDataFrame(rows, "json string").select("json", T.first_city(F.col("json")).alias("city"))
+
+
 # ---------------------------------------------------------------- loops and streams
 
 
