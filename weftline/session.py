@@ -51,3 +51,11 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """``df`` in as many parts as tasks can run at once, where it has fewer, by the hash of a column: for maps that cost
+    far more than a shuffle of their rows, over a table of few files. Tables of many parts stay as they are."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if parts >= tasks else df.repartition(tasks, by)
