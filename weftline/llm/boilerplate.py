@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.dom import Block, blocks, decode, has_html, sentence_ends
+from weftline.session import spread
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "crf_weights.json")
 _CJK = re.compile(r"[぀-ヿ一-鿿가-힯]")
@@ -241,7 +242,7 @@ def find_main(df: DataFrame, id_col: str = "crawl_id") -> DataFrame:
                     md5s += h
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(md5s, pa.string())], [id_col, "block_md5"])
 
-    return df.where(F.col("page").isNotNull()).select(id_col, "page", "content_type").mapInArrow(run, f"{id_col} {kind}, block_md5 string")
+    return spread(df.where(F.col("page").isNotNull()).select(id_col, "page", "content_type"), id_col).mapInArrow(run, f"{id_col} {kind}, block_md5 string")
 
 
 def extract_main(df: DataFrame, id_col: str = "crawl_id") -> DataFrame:
@@ -257,4 +258,4 @@ def extract_main(df: DataFrame, id_col: str = "crawl_id") -> DataFrame:
                 texts.append(None if page is None else "\n".join(x.text for x in main_blocks(text)) if has_html(text) else text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, "main"])
 
-    return df.select(id_col, "page", "content_type").mapInArrow(run, f"{id_col} {kind}, main string")
+    return spread(df.select(id_col, "page", "content_type"), id_col).mapInArrow(run, f"{id_col} {kind}, main string")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import spread
+
 #: Where the public vocabulary files lie; the folder must exist on every executor.
 TOKENIZER_DIR = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the public pattern that splits text into pieces before merges are applied.
@@ -182,7 +184,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ids = merge_leaves(enc, parts)
         return pa.table([pa.array([rows[0][id_col]] * copies, group.schema.field(id_col).type), _result(out, [ids] * copies)], [id_col, out])
 
-    done = slim.where(~long).mapInArrow(short_texts, f"{spec}, {kind}")
+    done = spread(slim.where(~long), id_col).mapInArrow(short_texts, f"{spec}, {kind}")
     cut = slim.where(long).mapInArrow(cut_texts, f"{spec}, _hash string, _seq int, _leaf string, _merge boolean")
     coded = cut.repartition("_hash", "_seq").mapInArrow(encode_leaves, f"{spec}, _hash string, _seq int, _ids array<int>, _first int, _last int, _pieces int, _merge boolean")
     return done.unionByName(coded.groupBy(id_col, "_hash").applyInArrow(merge, f"{spec}, {kind}"))

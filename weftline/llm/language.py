@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from weftline.llm.boilerplate import main_blocks
 from weftline.llm.dom import attributes, decode, has_html, sentence_ends
 from weftline.llm.encode import TOKENIZER_DIR
+from weftline.session import spread
 
 MAX_PIECE = 12  # characters
 #: Sentences of each language that the model is fitted to at most; ``lang_samples`` has 40 of each and does not grow.
@@ -367,7 +368,7 @@ def page_languages(df: DataFrame, model: Model, found_only: bool, id_col: str =
             types = [b.column(0).type, pa.int32(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [id_col, "segment", "lang", "confidence", "declared", "first", "last", "chars"])
 
-    slim = df.where(F.col("page").isNotNull()).select(id_col, "page", "content_type")
+    slim = spread(df.where(F.col("page").isNotNull()).select(id_col, "page", "content_type"), id_col)
     if found_only:
         return slim.mapInArrow(found, f"{spec}, lang string")
     return slim.mapInArrow(segments, f"{spec}, segment int, lang string, confidence double, declared string, first int, last int, chars int")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weftline.functions.url import url_host
 from weftline.llm.boilerplate import features, model
 from weftline.llm.dom import Block, Node, blocks, decode, has_html
-from weftline.session import cut
+from weftline.session import cut, spread
 
 #: A subtree is template if it occurs on this many different pages of a host and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 4, 0.2
@@ -143,7 +143,7 @@ def subtree_counts(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], ["host", "pid", "keys"])
 
     each = pages.where(F.col("page").isNotNull()).select(F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"), F.xxhash64("page").alias("pid"), "page", "content_type")
-    distinct = each.mapInArrow(run, "host string, pid bigint, keys array<bigint>").groupBy("host", "pid").agg(F.any_value("keys").alias("keys"))
+    distinct = spread(each, "pid").mapInArrow(run, "host string, pid bigint, keys array<bigint>").groupBy("host", "pid").agg(F.any_value("keys").alias("keys"))
     return distinct
 
 
@@ -231,7 +231,7 @@ def find_markup(pages: DataFrame, id_col: str = "crawl_id", sent_at_most: int =
 
     if not clean:
         source = source.where(F.col("page").isNotNull())
-    return source.mapInArrow(run, f"{spec}, {'text' if clean else 'markup'} string")
+    return spread(source, id_col).mapInArrow(run, f"{spec}, {'text' if clean else 'markup'} string")
 
 
 _FORMULA = re.compile(r"\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<![\w$\\])\$\$?(?=[^$\s])([^$\n]{1,400}?)(?<=[^$\s])\$\$?(?![\w$])", re.S)

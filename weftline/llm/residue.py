@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import spread
+
 # Placeholder grammars, one for each kind of delimiter. A name is one to four words, joined by blanks, dots, dashes or
 # underscores; what stands between the delimiters must look like a name, not like code, prose or a citation.
 _NAME = r"[A-Za-z][A-Za-z0-9]*(?:[ ._-][A-Za-z0-9]+){0,3}"
@@ -203,7 +205,7 @@ def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([is_residue(t) for t in b.column(1).to_pylist()], pa.bool_())], [id_col, "residue"])
 
-    return df.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"{id_col} {kind}, residue boolean")
+    return spread(df.select(id_col, F.col(text_col).alias("_text")), id_col).mapInArrow(run, f"{id_col} {kind}, residue boolean")
 
 
 def without_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,4 +217,4 @@ def without_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             keep = pa.array([not is_residue(t) for t in b.column(names.index(text_col)).to_pylist()], pa.bool_())
             yield b.filter(keep)
 
-    return df.mapInArrow(run, df.schema)
+    return spread(df, id_col).mapInArrow(run, df.schema)
