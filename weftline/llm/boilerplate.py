@@ -133,8 +133,6 @@ def features(page: list[Block]) -> list[list[tuple[str, ...]]]:
             signs.append("underlink")
         if sentence_ends(text) > 0:
             signs.append("sentences")
-        if path and path[-1].attrs and "class=\"u\"" in path[-1].attrs:
-            signs.append("utility")
         f.append(tuple(signs))
         f.append(("pt=^",) if not i else _beside("pt=", tags[i - 1], links[i - 1]))
         f.append(("nt=$",) if i + 1 == n else _beside("nt=", tags[i + 1], links[i + 1]))
