@@ -83,6 +83,13 @@ def test_crawl_rounds(spark):
     assert rows(C.crawl(web, seeds, 1)) == [("http://h/1", 0)]
 
 
+def test_crawl_caps_pages_and_not_urls(spark):
+    web = spark.createDataFrame([(f"http://h/{c}", bytearray(b'<a href="/a"><a href="/s"><a href="/t"><a href="http://g/1">')) for c in "prst"] + [("http://g/1", bytearray(b""))], "url string, page binary")
+    seeds = spark.createDataFrame([(f"http://h/{c}",) for c in "abcdpr"], "url string")
+    assert rows(C.crawl(web, seeds, 3, 2)) == [("http://g/1", 1), ("http://h/p", 0), ("http://h/r", 0)]  # a to d have no page
+    assert rows(C.crawl(web, seeds, 3, 3)) == [("http://g/1", 1), ("http://h/p", 0), ("http://h/r", 0), ("http://h/s", 1)]
+
+
 def test_incremental_index_equals_batch(spark, tmp_path):
     from weftline.streaming.incremental import index_incrementally
 

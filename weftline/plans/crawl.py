@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from weftline.functions import html as H
 from weftline.functions.url import is_skippable_href, normalize_url, resolve_url, should_crawl, url_host
-from weftline.session import cut
+from weftline.session import cut, scratch
 
 HOST_CAP, PAGE_CAP = 500, 50_000
 
 
-def host_capped(urls: DataFrame, order: list[Column | str], cap: int = HOST_CAP) -> DataFrame:
-    """The first ``cap`` urls of each host; the limit is applied before the shuffle too."""
-    w = Window.partitionBy(url_host(F.col("url"))).orderBy(*order)
-    return urls.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
+def host_capped(urls: DataFrame, order: list[Column | str], cap: int = HOST_CAP, taken: DataFrame | None = None) -> DataFrame:
+    """The first ``cap`` urls of each host, fewer by those that ``taken`` (url) has of it already; the limit is applied
+    before the shuffle too."""
+    host = F.coalesce(url_host(F.col("url")), F.lit(""))
+    first = urls.withColumn("_host", host).withColumn("_n", F.row_number().over(Window.partitionBy("_host").orderBy(*order))).where(F.col("_n") <= cap)
+    if taken is not None:
+        counts = taken.groupBy(host.alias("_host")).agg(F.count("*").alias("_taken"))
+        first = first.join(counts, "_host", "left").where(F.col("_n") + F.coalesce("_taken", F.lit(0)) <= cap).drop("_taken")
+    return first.drop("_host", "_n")
 
 
 def too_early(last_access: Column, now: Column, delay: Column) -> Column:
@@ -27,15 +32,19 @@ def too_early(last_access: Column, now: Column, delay: Column) -> Column:
 def crawl(web: DataFrame, seeds: DataFrame, rounds: int = 3, host_cap: int = HOST_CAP) -> DataFrame:
     """(url, depth): the pages of ``web`` (url, page) reached from the seeds, breadth first. Seeds bypass the policy.
 
-    A round takes the pages of its frontier, their links in canonical form, and leaves out what was seen; frontier and
-    seen urls are written after each round, so that neither lineage nor driver grows."""
-    pages = web.select(normalize_url(F.col("url")).alias("url"), "page")
+    A round takes the pages of its frontier, their links in canonical form, and leaves out what was seen. Only urls with
+    a page count towards the cap of their host, over all rounds; a url beyond it is dropped for good, because its host
+    has all its pages by then. Pages, frontier, fetched and seen urls are written, so that neither lineage nor driver
+    grows."""
+    spark = web.sparkSession
+    pages = cut(web.select(normalize_url(F.col("url")).alias("url"), "page").where(F.col("url").isNotNull()), "pages")
     frontier = cut(seeds.select(normalize_url(F.col("url")).alias("url")).where(F.col("url").isNotNull()).distinct(), "frontier")
-    seen, done = frontier, None
+    seen, done, folder = frontier, None, scratch(spark, "fetched")
     for depth in range(rounds):
-        fetched = pages.join(host_capped(frontier, ["url"], host_cap), "url", "left_semi").dropDuplicates(["url"])
-        got = fetched.select("url", F.lit(depth).alias("depth"))
-        done = got if done is None else done.unionByName(got)
+        there = frontier.join(pages.select("url"), "url", "left_semi")
+        host_capped(there, ["url"], host_cap, done).write.parquet(f"{folder}/depth={depth}")
+        done = spark.read.schema("url string, depth int").parquet(folder)
+        fetched = pages.join(done.where(F.col("depth") == depth), "url", "left_semi").dropDuplicates(["url"])
         links = fetched.select("url", F.explode(H.hrefs(H.page_text(F.col("page")))).alias("href")).where(~is_skippable_href(F.col("href")))
         new = links.select(resolve_url(F.col("url"), F.col("href")).alias("url")).where(F.col("url").isNotNull())
         frontier = cut(new.where(should_crawl(F.col("url"))).distinct().join(seen, "url", "left_anti"), "frontier")
