@@ -90,6 +90,14 @@ def test_crawl_caps_pages_and_not_urls(spark):
     assert rows(C.crawl(web, seeds, 3, 3)) == [("http://g/1", 1), ("http://h/p", 0), ("http://h/r", 0), ("http://h/s", 1)]
 
 
+def test_links_of_long_pages(spark, tmp_path):
+    page = bytearray(b"<p>" + b"x" * 30_000 + b'<a href="/2">')
+    web = spark.createDataFrame([("http://h/1", page), ("http://h/2", bytearray(b""))], "url string, page binary")
+    assert rows(C.crawl(web, web.select("url").limit(1), 2)) == [("http://h/1", 0), ("http://h/2", 1)]
+    spark.createDataFrame([(1, "http://h/1", "text/html", page, None)], "crawl_id bigint, url string, content_type string, page binary, stored_at timestamp").write.parquet(f"{tmp_path}/crawl.parquet")
+    assert rows(catalog.QUERIES["html_links"](spark, str(tmp_path))) == [("http://h/1", 0, "/2")]
+
+
 def test_incremental_index_equals_batch(spark, tmp_path):
     from weftline.streaming.incremental import index_incrementally
 

@@ -504,7 +504,7 @@ _HREF = r"""'(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'"""
 @query(rf"""{_TXT}, x as (select url, regexp_extract_all(html, {_HREF}, 1) as l from t), y as (select url, unnest(l) as href, generate_subscripts(l, 1) - 1 as pos from x)
 select url, pos::int as pos, trim(regexp_replace(href, '^["'']|["'']$', '', 'g')) as href from y""")
 def html_links(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("url", F.posexplode(H.hrefs(H.page_text(F.col("page"), F.col("content_type")))).alias("pos", "href"))
+    return _pages(spark, d).select("url", F.posexplode(H.hrefs(H.page_text(F.col("page"), F.col("content_type"), limit=None))).alias("pos", "href"))
 
 
 @query()

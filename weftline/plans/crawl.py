@@ -45,7 +45,7 @@ def crawl(web: DataFrame, seeds: DataFrame, rounds: int = 3, host_cap: int = HOS
         host_capped(there, ["url"], host_cap, done).write.parquet(f"{folder}/depth={depth}")
         done = spark.read.schema("url string, depth int").parquet(folder)
         fetched = pages.join(done.where(F.col("depth") == depth), "url", "left_semi").dropDuplicates(["url"])
-        links = fetched.select("url", F.explode(H.hrefs(H.page_text(F.col("page")))).alias("href")).where(~is_skippable_href(F.col("href")))
+        links = fetched.select("url", F.explode(H.hrefs(H.page_text(F.col("page"), limit=None))).alias("href")).where(~is_skippable_href(F.col("href")))
         new = links.select(resolve_url(F.col("url"), F.col("href")).alias("url")).where(F.col("url").isNotNull())
         frontier = cut(new.where(should_crawl(F.col("url"))).distinct().join(seen, "url", "left_anti"), "frontier")
         if frontier.isEmpty():
