@@ -98,6 +98,14 @@ def test_links_of_long_pages(spark, tmp_path):
     assert rows(catalog.QUERIES["html_links"](spark, str(tmp_path))) == [("http://h/1", 0, "/2")]
 
 
+def test_crawl_runs_until_the_frontier_is_empty(spark):
+    link = {1: "https://URLdefense.com/v3/__http%3A%2F%2Fh%2F2__;!x", 2: "/3", 3: "/4?of=urldefense", 5: "/6"}
+    web = spark.createDataFrame([(f"http://h/{i}", bytearray(f'<a href="{link.get(i, "")}">'.encode())) for i in (1, 2, 3, 5)] + [("http://h/4?of=urldefense", bytearray(b'<a href="/5">'))], "url string, page binary")
+    seeds = spark.createDataFrame([("http://h/1",)], "url string")
+    assert rows(C.crawl(web, seeds)) == [("http://h/1", 0), ("http://h/2", 1), ("http://h/3", 2), ("http://h/4?of=urldefense", 3), ("http://h/5", 4)]
+    assert rows(C.crawl(web, seeds, page_cap=2)) == [("http://h/1", 0), ("http://h/2", 1)]
+
+
 def test_incremental_index_equals_batch(spark, tmp_path):
     from weftline.streaming.incremental import index_incrementally
 

@@ -116,7 +116,7 @@ def unwrap_redirect(url: Column) -> Column:
     """The url inside a mail-filter wrapper: what stands between two double underscores, percent-decoded; the url
     itself if it isn't wrapped, null if the inner part can't be decoded or is empty."""
     inner = F.regexp_extract(url, r"__(.+?)__", 1)
-    return F.when(~url.contains("urldefense"), url).when(inner == "", F.lit(None).cast("string")).otherwise(F.try_url_decode(inner))
+    return F.when(~F.lower(url).contains("urldefense.com"), url).when(inner == "", F.lit(None).cast("string")).otherwise(F.try_url_decode(inner))
 
 
 def decode_url(url: Column) -> Column:

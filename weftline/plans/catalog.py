@@ -736,8 +736,8 @@ def city_from_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
-    """Three rounds from the frontier's urls over the stored pages."""
-    return C.crawl(_pages(spark, d), _t(spark, d, "frontier").select("url"), 3)
+    """From the frontier's urls over the stored pages, until no url is left or the page cap is reached."""
+    return C.crawl(_pages(spark, d), _t(spark, d, "frontier").select("url"))
 
 
 @query()

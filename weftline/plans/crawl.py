@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import html as H
-from weftline.functions.url import is_skippable_href, normalize_url, resolve_url, should_crawl, url_host
+from weftline.functions.url import is_skippable_href, normalize_url, resolve_url, should_crawl, unwrap_redirect, url_host
 from weftline.session import cut, scratch
 
 HOST_CAP, PAGE_CAP = 500, 50_000
@@ -29,9 +31,12 @@ def too_early(last_access: Column, now: Column, delay: Column) -> Column:
     return F.coalesce(passed < F.ceil(F.coalesce(delay, F.lit(1.0)) * 1000), F.lit(False))
 
 
-def crawl(web: DataFrame, seeds: DataFrame, rounds: int = 3, host_cap: int = HOST_CAP) -> DataFrame:
+def crawl(web: DataFrame, seeds: DataFrame, rounds: int | None = None, host_cap: int = HOST_CAP, page_cap: int | None = PAGE_CAP) -> DataFrame:
     """(url, depth): the pages of ``web`` (url, page) reached from the seeds, breadth first. Seeds bypass the policy.
 
+    Ends when the frontier is empty, after ``rounds``, if given, or before a round that ``page_cap`` pages precede; as in
+    the reference, the round that reaches it is taken whole.
+
     A round takes the pages of its frontier, their links in canonical form, and leaves out what was seen. Only urls with
     a page count towards the cap of their host, over all rounds; a url beyond it is dropped for good, because its host
     has all its pages by then. Pages, frontier, fetched and seen urls are written, so that neither lineage nor driver
@@ -39,16 +44,19 @@ def crawl(web: DataFrame, seeds: DataFrame, rounds: int = 3, host_cap: int = HOS
     spark = web.sparkSession
     pages = cut(web.select(normalize_url(F.col("url")).alias("url"), "page").where(F.col("url").isNotNull()), "pages")
     frontier = cut(seeds.select(normalize_url(F.col("url")).alias("url")).where(F.col("url").isNotNull()).distinct(), "frontier")
-    seen, done, folder = frontier, None, scratch(spark, "fetched")
-    for depth in range(rounds):
+    done, folder, old = None, scratch(spark, "fetched"), scratch(spark, "seen")
+    for depth in count() if rounds is None else range(rounds):
+        frontier.write.parquet(f"{old}/depth={depth}")
+        seen = spark.read.schema("url string, depth int").parquet(old)
         there = frontier.join(pages.select("url"), "url", "left_semi")
         host_capped(there, ["url"], host_cap, done).write.parquet(f"{folder}/depth={depth}")
         done = spark.read.schema("url string, depth int").parquet(folder)
         fetched = pages.join(done.where(F.col("depth") == depth), "url", "left_semi").dropDuplicates(["url"])
+        if page_cap is not None and done.count() >= page_cap:
+            break
         links = fetched.select("url", F.explode(H.hrefs(H.page_text(F.col("page"), limit=None))).alias("href")).where(~is_skippable_href(F.col("href")))
-        new = links.select(resolve_url(F.col("url"), F.col("href")).alias("url")).where(F.col("url").isNotNull())
+        new = links.select(resolve_url(F.col("url"), unwrap_redirect(F.col("href"))).alias("url")).where(F.col("url").isNotNull())
         frontier = cut(new.where(should_crawl(F.col("url"))).distinct().join(seen, "url", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
     return done
