@@ -52,6 +52,11 @@ def test_links(spark):
     assert [(r["dst"], r["pos"]) for r in P.page_links(pages).orderBy("pos").collect()] == [("http://h/a/b", 0), ("http://h/c", 1)]
 
 
+def test_whole_pages_on_demand(spark):
+    pages = spark.createDataFrame([("http://h/1", bytearray(b"<p>" + b"x" * 30_000 + b'<a href="/2">'))], "url string, page binary")
+    assert P.page_links(pages).count() == 0 and P.page_links(pages, limit=None).count() == 1
+
+
 def test_score(spark):
     f = lambda url, city=None, title="cat": spark.range(1).select(S.score(F.lit(0.1), F.lit(2.0), F.lit(title), F.lit(url), F.lit("s"), ["cat", "zebra"], F.lit(1.0), city)).first()[0]
     assert f("http://x/") == pytest.approx(0.977890, abs=1e-6)

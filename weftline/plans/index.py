@@ -65,12 +65,12 @@ def tfidf(counts: DataFrame, vocab: DataFrame, total_pages: DataFrame) -> DataFr
     return sized.select("word", "url", tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("tfidf")).where(F.col("idf") > 0)
 
 
-def page_counts(crawl: DataFrame) -> DataFrame:
+def page_counts(crawl: DataFrame, limit: int | None = H.PAGE_BYTES) -> DataFrame:
     """(url, part, word, tf): the words of each url's latest page, "index" and "weights" parts with their own body text
     and least length. Pages are shuffled once, by url, to find the latest; both parts are read from them in the same
     pass and counted where they are, without another shuffle. Written, because three later steps read it."""
     pages = latest_pages(crawl)
-    text, size = H.page_text(F.col("page")), F.octet_length("page")
+    text, size = H.page_text(F.col("page"), limit=limit), F.octet_length("page")
     none = F.array().cast("array<string>")
     of_index = F.when((size >= H.LEAST_BYTES["index"]) & F.col("url").rlike("^(?i)https?://"), document_terms(H.body_for_index(text))).otherwise(none)
     of_weights = F.when(size >= H.LEAST_BYTES["tfidf"], document_terms(H.body_for_tfidf(text))).otherwise(none)
@@ -79,9 +79,10 @@ def page_counts(crawl: DataFrame) -> DataFrame:
     return cut(words.groupBy("url", "part", "word").agg(F.count("*").alias("tf")), "counts")
 
 
-def build(crawl: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(index, vocabulary, weights) of a crawl. The words of the pages are counted and written now, the rest is lazy."""
-    counts = page_counts(crawl)
+def build(crawl: DataFrame, limit: int | None = H.PAGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, vocabulary, weights) of a crawl. The words of the pages are counted and written now, the rest is lazy.
+    ``limit`` bytes of a page are read, all if None."""
+    counts = page_counts(crawl, limit)
     total = crawl.where(F.col("page").isNotNull()).agg(F.count_distinct("url").alias("pages"))
     index = inverted_index(counts.where("part = 'index'").select("url", "word", "tf"), total)
     vocab = vocabulary(index)

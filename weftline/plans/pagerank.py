@@ -12,10 +12,10 @@ from weftline.session import cut
 DAMPING, ROUNDS, TOLERANCE, LINKS_PER_PAGE = 0.85, 20, 0.001, 30
 
 
-def page_links(pages: DataFrame, most: int = LINKS_PER_PAGE) -> DataFrame:
+def page_links(pages: DataFrame, most: int = LINKS_PER_PAGE, limit: int | None = H.PAGE_BYTES) -> DataFrame:
     """(src, dst, pos): the first ``most`` different targets of each page, in canonical form, without the page itself."""
     src = normalize_url(F.col("url"))
-    found = pages.select(src.alias("src"), "url", F.posexplode(H.hrefs(H.page_text(F.col("page")))).alias("pos", "href")).where(~is_skippable_href(F.col("href")))
+    found = pages.select(src.alias("src"), "url", F.posexplode(H.hrefs(H.page_text(F.col("page"), limit=limit))).alias("pos", "href")).where(~is_skippable_href(F.col("href")))
     target = found.select("src", resolve_url(F.col("url"), F.col("href")).alias("dst"), "pos").where(F.col("dst").isNotNull() & (F.col("dst") != F.col("src")))
     first = target.groupBy("src", "dst").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("src").orderBy("pos", "dst")

@@ -10,15 +10,16 @@ from weftline.functions import html as H
 from weftline.plans.index import MIN_COUNT, term_counts
 
 
-def index_incrementally(stream: DataFrame, path: str) -> DataFrame:
+def index_incrementally(stream: DataFrame, path: str, limit: int | None = H.PAGE_BYTES) -> DataFrame:
     """Runs a stream of crawl rows to its present end and returns (word, url, tf), each url as it was first seen.
 
     New files only are read when it runs again with the same ``path``: the checkpoint knows the old ones. Each
-    micro-batch appends the counts of its pages; a batch that is repeated after a failure overwrites its own folder."""
+    micro-batch appends the counts of its pages; a batch that is repeated after a failure overwrites its own folder.
+    ``limit`` bytes of a page are read, all if None."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         pages = batch.where(F.col("page").isNotNull() & F.col("url").rlike("^(?i)https?://") & (F.octet_length("page") >= H.LEAST_BYTES["index"])).dropDuplicates(["url"])
-        counts = term_counts(pages, H.body_for_index(H.page_text(F.col("page")))).where(F.col("tf") >= MIN_COUNT)
+        counts = term_counts(pages, H.body_for_index(H.page_text(F.col("page"), limit=limit))).where(F.col("tf") >= MIN_COUNT)
         counts.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/parts/batch={batch_id}")
 
     q: StreamingQuery = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(sink).start()
