@@ -183,6 +183,41 @@ def test_no_residue(text):
     assert not residue.is_residue(text)
 
 
+def _shortest(tree):
+    """Texts that a parsed pattern matches: each branch once, optional parts left out and put in, repeats as short as can be."""
+    out = {""}
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            more = {chr(arg)}
+        elif name == "BRANCH":
+            more = set().union(*map(_shortest, arg[1]))
+        elif name == "SUBPATTERN":
+            more = _shortest(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = {x * n for n in {arg[0], min(arg[0] + 1, arg[1]) if arg[1] == 1 else arg[0]} for x in _shortest(arg[2])}
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        elif name == "IN":
+            kind, value = arg[0]
+            more = {chr(value)} if str(kind) == "LITERAL" else {chr(value[0])} if str(kind) == "RANGE" else {{"CATEGORY_WORD": "q", "CATEGORY_DIGIT": "7", "CATEGORY_NOT_WORD": " "}[str(value)]}
+            if str(kind) == "LITERAL":
+                more = {chr(v) for k, v in arg if str(k) == "LITERAL"}
+        else:
+            more = {" "}
+        out = {a + b for a in out for b in more}
+    return out
+
+
+def test_anchors_cover_all_phrases():
+    from re import _parser
+
+    for bit, groups in ((residue._MSG, residue.MESSAGES), (residue._FILL, residue.FILLER)):
+        missing = sorted(x for p in groups.values() for x in _shortest(_parser.parse(p)) if not residue._hints(x.lower()) & bit)
+        assert missing == []
+    assert residue.is_residue("Página no encontrada.") and residue.is_residue("The file could not be shown.")
+
+
 def test_residue_operators(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Coming soon"), (3, "Coming soon"), (4, _REAL), (None, "404 Not Found")], "doc_id bigint, text string").withColumn("residue", F.lit("clash"))
     assert sorted((r["doc_id"] or 0, r["residue"]) for r in residue.find_residue(df).collect()) == [(0, True), (1, False), (2, False), (3, True), (3, True), (4, False)]

@@ -113,7 +113,7 @@ _ANCHORS = {
     _MARK: ["{", "[", "<", "%", "__", "@@", "undefined", "nan", "null"],
     _MSG: [
         "javascript", "java script", "js", "script", "active content", "skript", "スクリプト", "скрипт", "turn it on", "switch it on", "will not work", "cookies",
-        "found", "no longer", "not exist", "deleted", "removed", "moved", "never existed", "cannot be shown", "expired", "is gone", "available", "nothing lives", "introuvable", "nicht gefunden", "link ist", "la página", "página não", "pagina non", "più valido", "niet gevonden", "не найден", "見つか",
+        "found", "no longer", "not exist", "deleted", "removed", "moved", "never existed", "be shown", "expired", "is gone", "available", "nothing lives", "introuvable", "nicht gefunden", "link ist", "la página", "no encontrada", "página não", "pagina non", "più valido", "niet gevonden", "не найден", "見つか",
         "l'adresse", "la dirección", "o endereço", "het adres", "адрес", "アドレス", "check the",
         "error", "fehler", "erreur", "http 4", "http 5", "service", "internal", "unavailable", "the page", "went wrong", "laden sie", "timed out", "time-out", "timeout", "gateway", "connect", "connection", "serviced", "maintenance", "failed to load", "not be loaded", "try again", "réessayer", "wartung", "mantenimiento", "certificate", "upstream",
         "traceback", "exception", "stack trace", "warning:", 
