@@ -150,6 +150,15 @@ def test_find_markup(spark):
     assert markup.find_markup(df.limit(0)).count() == 0
 
 
+def test_no_form_of_markup_is_skipped():
+    forms = ["[id]: https://x.y/z", "- [x] task", "<b>&gt; quote</b>", "- one. - two.", "-----", "See &lt;b&gt;this&lt;/b&gt;."]
+    rows = [(i, f"http://h{i}/", page(f"<p>{EN} Page {i}.</p><p>{EN}</p><p>{EN}</p>").replace(b"</p>", b"</p><p>" + f.encode() + b"</p>", 1), None) for i, f in enumerate(forms)]
+    assert all(markup.kinds_of([b.text for b in blocks(r[2].decode())]) for r in rows)
+    for r in rows:
+        assert markup.own_blocks(r[2].decode(), set(), marked=True) != [], r[2]
+    assert markup.own_blocks(page(f"<p>{EN}</p>").decode(), set(), marked=True) == []
+
+
 def test_clean_text_keeps_structure():
     t = markup.clean_text(r"== Head == text with $x^2$ and [[a|b]] <ul><li>one</li></ul> \emph{word} &amp; end")
     assert t.split("\n") == ["## Head", "text with $x^2$ and b", "- one word & end"]

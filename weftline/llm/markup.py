@@ -164,11 +164,18 @@ class _Held:
         return site_key(self.host, subtree) in self.keys
 
 
-def own_blocks(text: str, templates) -> list[Block]:
+def shown_text(b: Block) -> str:
+    """The text of a block in which markup is visible: without its code elements."""
+    return b.text if b.plain is None else b.plain
+
+
+def own_blocks(text: str, templates, marked: bool = False) -> list[Block]:
     """The blocks of a page that are left without templates and belong to the main content; ``templates`` answers
-    whether a subtree hash is template."""
+    whether a subtree hash is template. With ``marked``, none if no block of the page shows markup."""
     nodes: list[Node] = []
     page = blocks(text, nodes)
+    if marked and not any(hits(shown_text(b), k) for b in page if not b.in_code for k in KINDS):
+        return []
     keep = without_templates(page, nodes, templates)
     if not any(keep):
         return []
@@ -176,10 +183,6 @@ def own_blocks(text: str, templates) -> list[Block]:
     return [b for b, k, m in zip(page, keep, main) if k and m]
 
 
-# What must occur in a page's source, if anything in it can be visible markup.
-_SOURCE = re.compile(r"^\s*- \S|&lt;|&amp;[#\w]|&#\w|\*\S|__|~~|#\s|`|\]\(|\]\[|--\||--:|===|\[\[|\{\{|\{\||==|''|\\[a-zA-Z\[(]|\$\S|\b_\w|\[http|^&gt;", re.M)
-
-
 def find_markup(pages: DataFrame, id_col: str = "crawl_id", sent_at_most: int = SENT_AT_MOST, clean: bool = False) -> DataFrame:
     """(id, markup) for each page and each kind of which markup shows; with ``clean``, (id, text) of every page instead.
 
@@ -222,8 +225,8 @@ def find_markup(pages: DataFrame, id_col: str = "crawl_id", sent_at_most: int =
                     if text.strip() and (k := kind_of_plain(text)):
                         ids.append(i)
                         found.append(k)
-                elif _SOURCE.search(text):
-                    shown = [x.text if x.plain is None else x.plain for x in own_blocks(text, here) if not x.in_code]
+                else:
+                    shown = [shown_text(x) for x in own_blocks(text, here, marked=True) if not x.in_code]
                     for k in kinds_of(shown):
                         ids.append(i)
                         found.append(k)
