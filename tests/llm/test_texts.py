@@ -31,6 +31,12 @@ def test_decode():
     assert decode(None, None) == "" and decode(b"\xff", "text/html; charset=nonsense") == "�"
 
 
+def test_html_after_a_long_lead():
+    for lead in (" " * 3000, f"<!-- {'x' * 3000} -->\n", f"<?xml version='1.0'?><!--{'y' * 900}--> <!--{'z' * 900}-->"):
+        assert has_html(lead + "<!DOCTYPE html><p>x</p>") and has_html(lead + "<p>x</p>")
+    assert not has_html(f"<!-- <html> {'x' * 30} --> plain") and not has_html("plain <p>x</p>")
+
+
 def test_blocks():
     got = blocks("<head><title>x</title></head><body><!-- c --><script>1<2</script><p>a <b>b</b>c &amp;lt; d<div>e<br>f</div><li>g<li>h<pre><code> x  y </code></pre><td")
     assert [(b.text, b.tag, b.in_code) for b in got] == [("a bc &lt; d", "p", False), ("e", "div", False), ("f", "div", False), ("g", "li", False), ("h", "li", False), ("x y", "pre", True)]

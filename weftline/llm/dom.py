@@ -23,6 +23,8 @@ _CUT = re.compile(r"<[/a-zA-Z][^<>]*\Z")  # a tag that the page's end cuts off
 # Text, then a tag: end mark, name, attributes. A "<" that begins no tag is text.
 _TOKEN = re.compile(r"([^<]*(?:<(?![/a-zA-Z])[^<]*)*)(?:<(/?)([a-zA-Z][\w:.-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|(<)|\Z)")
 _HTML = re.compile(r"<(?:!doctype\s+html|html|body|head|div|p|table|h1)\b", re.I)
+# What may stand before the first tag of a page and shows nothing.
+_LEAD = re.compile(r"(?:\s+|\ufeff|<!--.*?-->|<\?[^>]*>|<(script|style|title)\b[^>]*>.*?</\1\s*>|<(?:meta|link|base)\b[^>]*>)*+", re.S | re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 _ALIASES = {"latin1": "cp1252", "latin-1": "cp1252", "iso-8859-1": "cp1252", "iso8859-1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252"}
 
@@ -44,9 +46,12 @@ def decode(page: bytes | None, content_type: str | None) -> str:
 
 
 def has_html(text: str) -> bool:
-    """Whether a page is HTML at all, and not plain text that may hold a tag or two as content."""
-    m = _HTML.search(text[:1024])
-    return m is not None and (m.group(0).lower().startswith(("<!doctype", "<html", "<body", "<head")) or text[: m.start()].strip() == "" and "</" in text)
+    """Whether a page is HTML at all, and not plain text that may hold a tag or two as content. White
+    space, comments and what else of a head shows nothing may be of any length before its first tag; of text that shows
+    there may be 1,024 characters."""
+    at = _LEAD.match(text).end()
+    m = _HTML.search(text, at, at + 1024)
+    return m is not None and (m.group(0).lower().startswith(("<!doctype", "<html", "<body", "<head")) or text[at : m.start()].strip() == "" and "</" in text)
 
 
 def sentence_ends(text: str) -> int:
