@@ -142,3 +142,44 @@ def test_fetch(spark):
     df = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("boom",), (None,)], "url string")
     got = {r["url"]: (r["response_code"], bytes(r["page"]) if r["page"] else None, r["length"]) for r in fetch(df, web, 4).collect()}
     assert got == {"a": (200, b"xxxx", 10), "b": (200, None, 1), "c": (404, None, 1), "d": (None, None, None), "boom": (None, None, None)}
+
+
+def test_pages_of_results_beyond_the_last(spark):
+    from weftline.operators.dataset import page_of
+
+    df = spark.range(23)
+    got = lambda k: [r[0] for r in page_of(df, [F.col("id")], k, 10).collect()]
+    assert got(1) == list(range(10)) and got(3) == [20, 21, 22] and got(9) == got(3) and got(-1) == got(1)
+    assert page_of(df.limit(0), [F.col("id")], 2).count() == 0
+
+
+def test_versions_need_no_read(spark, tmp_path):
+    from weftline.operators.kv import KVTable
+
+    t = KVTable(spark, f"{tmp_path}/t")
+    versions = [t.next_version() for _ in range(100)]
+    assert versions == sorted(set(versions))
+    t.put_row("a", {"x": "1", "y": "2"})
+    t.put_row("a", {"x": "3"})
+    assert [tuple(r) for r in t.rows().collect()] == [("a", "x", "3")]
+
+
+def test_job_output():
+    from weftline.operators.dataset import JobOutput
+
+    out = JobOutput()
+    assert out.text() == "No output"
+    out.output("a")
+    out.output(None)
+    out.output("b")
+    assert out.text() == "ab"
+
+
+def test_fetch_asks_for_the_head_first(spark):
+    from weftline.sources.fetch import fetch
+
+    heads = {"http://h/1": (200, "text/html; charset=x", "en-GB", None), "http://h/2": (301, None, None, "/1"), "http://h/3": (200, "text/html", "de", None), "http://h/4": (200, "image/png", None, None), "http://h/5": (404, "text/html", None, None)}
+    urls = spark.createDataFrame([(u,) for u in [*heads, "http://h/6", None]], "url string")
+    got = {r["url"]: r for r in fetch(urls, lambda u: (200, "text/html", b"x" * 9), 4, heads.get).collect()}
+    assert bytes(got["http://h/1"]["page"]) == b"xxxx" and got["http://h/1"]["length"] == 9
+    assert got["http://h/2"]["location"] == "http://h/1" and [u for u, r in got.items() if r["page"] is not None] == ["http://h/1"] and len(got) == 6

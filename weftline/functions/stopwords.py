@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-# The base list of common English words, without its contractions.
-_BASE = """
-a about above after again against ain all am an and any are aren as at be because been before being below between both but by
-can couldn d did didn do does doesn doing don down during each few for from further had hadn has hasn have haven having he her
-here hers herself him himself his how i if in into is isn it its itself just ll m ma me mightn more most mustn my myself needn
-no nor not now o of off on once only or other our ours ourselves out over own re s same shan she should shouldn so some such t
-than that the their theirs them themselves then there these they this those through to too under until up ve very was wasn we
-were weren what when where which while who whom why will with won wouldn y you your yours yourself yourselves
+# The words that are left out, common English words first, then words of the web.
+_WORDS = """
+a about above after again against ain all am an and any are aren aren't as at be because been before being below between
+both but by can couldn couldn't d did didn didn't do does doesn doesn't doing don don't down during each few for from
+further had hadn hadn't has hasn hasn't have haven haven't having he he'd he'll her here hers herself he's him himself
+his how i i'd if i'll i'm in into is isn isn't it it'd it'll it's its itself i've just ll m ma me mightn mightn't more
+most mustn mustn't my myself needn needn't no nor not now o of off on once only or other our ours ourselves out over own
+re s same shan shan't she she'd she'll she's should shouldn shouldn't should've so some such t than that that'll the
+their theirs them themselves then there these they they'd they'll they're they've this those through to too under until
+up ve very was wasn wasn't we we'd we'll we're were weren weren't we've what when where which while who whom why will
+with won won't wouldn wouldn't y you you'd you'll your you're yours yourself yourselves you've
+http https www com org net
+html htm css js javascript script href src img json xml utf utf8 iso
+page pages site sites homepage home index nav menu footer header sidebar
+login logout signin signup register account
+cookie cookies policy policies privacy terms agreement copyright trademark
+click button submit search results filter
 """
-# Words of protocols, markup, site parts, accounts and policies.
-_WEB = """
-http https www com org net html htm css js javascript script href src img json xml utf utf8 iso page pages site sites homepage
-home index nav menu footer header sidebar login logout signin signup register account cookie cookies policy policies privacy
-terms agreement copyright trademark click button submit search results filter
-"""
-
-
-def _contractions() -> set[str]:
-    """Verbs with n't, and pronouns with their short forms."""
-    negated = "aren couldn didn doesn don hadn hasn haven isn mightn mustn needn shan shouldn wasn weren won wouldn"
-    out = {f"{v}'t" for v in negated.split()} | {"should've", "that'll"}
-    forms = {"he": "d ll s", "she": "d ll s", "it": "d ll s", "i": "d ll m ve", "they": "d ll re ve", "we": "d ll re ve", "you": "d ll re ve"}
-    return out | {f"{p}'{f}" for p, fs in forms.items() for f in fs.split()}
-
 
-STOP_WORDS: frozenset[str] = frozenset(_BASE.split()) | frozenset(_WEB.split()) | frozenset(_contractions())
+STOP_WORDS: frozenset[str] = frozenset(_WORDS.split())

@@ -10,10 +10,6 @@ from weftline.functions.stopwords import STOP_WORDS
 MAX_TERM = 25
 
 
-def _stop() -> Column:
-    return F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
-
-
 def document_terms(text: Column, max_length: int = MAX_TERM) -> Column:
     """Words of a document: lower case, split at everything but a to z; stop words and long words are left out."""
     words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: (w != "") & (F.length(w) <= max_length))

@@ -124,43 +124,71 @@ def decode_url(url: Column) -> Column:
     return F.coalesce(F.try_url_decode(url), url)
 
 
-# Fixed values of the crawl policy.
-LANGUAGE_DIRS = ["/es/", "/de/", "/fr/", "/ja/", "/zh/", "/ru/", "/ar/"]
+# Fixed values of the crawl policy: hosts that are never visited (exact match: sub-domains pass), ends of a path, parts
+# of a url, folders of other languages.
+BLOCKED_HOSTS = [
+    "facebook.com", "www.facebook.com", "twitter.com", "www.twitter.com", "t.co", "instagram.com", "www.instagram.com",
+    "linkedin.com", "www.linkedin.com", "youtube.com", "www.youtube.com", "tiktok.com", "www.tiktok.com", "reddit.com",
+    "www.reddit.com", "quora.com", "www.quora.com", "medium.com", "www.medium.com", "pinterest.com", "www.pinterest.com",
+    "m.baidu.com", "baidu.com", "translate.google.com",
+    "doubleclick.net", "googletagmanager.com", "google-analytics.com", "adservice.google.com", "scorecardresearch.com", "taboola.com", "outbrain.com",
+    "api.nytimes.com", "api.bbc.com", "static.nytimes.com", "cdn.cnn.com", "cdn.britannica.com", "akamaihd.net", "cloudfront.net", "fastly.net",
+    "localhost", "127.0.0.1",
+]
 BLOCKED_PARTS = [
-    "?utm_", "&utm_", "gclid=", "fbclid=", "?ref=", "?source=",
+    "?utm_", "&utm_", "gclid=", "fbclid=",
+    "?ref=", "?source=",
     "/login", "/signin", "/logout", "/subscribe", "/account", "/profile", "/register", "/checkout", "/cart",
     "/search?", "/?q=", "query=",
     "/calendar", "/events/", "/year/", "/month/", "/day/",
-    "/share?",
+    "/share?", "/facebook.com/sharer", "/twitter.com/share",
     "/api/", "/graphql", "/ajax/", "/feeds/", ".json", ".xml",
     "/print/", "?print",
     ";jsessionid=",
 ]
 BLOCKED_SUFFIXES = [
-    ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico", ".bmp",
-    ".mp3", ".mp4", ".avi", ".mov", ".wav", ".webm",
-    ".pdf", ".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx", ".zip", ".rar", ".tar", ".gz", ".7z",
+    ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp",
+    ".mp4", ".mov", ".avi", ".mkv", ".webm", ".mp3", ".wav",
+    ".pdf", ".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx", ".zip", ".tar", ".gz", ".tgz", ".rar", ".7z",
     ".css", ".js", ".woff", ".woff2", ".ttf", ".eot",
     ".php", ".aspx",
 ]
+LANGUAGE_DIRS = ["/es/", "/de/", "/fr/", "/ja/", "/zh/", "/ru/", "/ar/"]
 
 
 def should_crawl(url: Column, blocked_hosts: list[str] | None = None) -> Column:
     """The crawl policy as one boolean: http(s), a host that isn't blocked (exact match, sub-domains pass), no blocked
-    suffix of the path, no blocked part of the url, no language folder in the path. Null urls are never crawled."""
+    suffix of what follows the host, no blocked part of the url, no language folder after the host. Null urls are never
+    crawled. ``blocked_hosts`` replaces the fixed list."""
+    hosts = BLOCKED_HOSTS if blocked_hosts is None else blocked_hosts
+
+    def judge(p: Column) -> Column:
+        ok = p.ok & (p.host != "") & ~p.low.rlike(_any_of(BLOCKED_PARTS)) & ~p.path.rlike(f"(?:{_any_of(BLOCKED_SUFFIXES)})$|{_any_of(LANGUAGE_DIRS)}")
+        return ok & ~p.host.isin(*hosts) if hosts else ok
+
     u = F.coalesce(url, F.lit(""))
-    low = F.lower(u)
-    path = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1))
-    ok = u.rlike(r"^(?i)https?://[^/?#]") & (url_host(u) != "")
-    if blocked_hosts:
-        ok = ok & ~url_host(u).isin(*blocked_hosts)
-    for s in BLOCKED_SUFFIXES:
-        ok = ok & ~path.endswith(s)
-    for s in BLOCKED_PARTS:
-        ok = ok & ~low.contains(s)
-    for s in LANGUAGE_DIRS:
-        ok = ok & ~path.contains(s)
-    return ok
+    return _let(F.struct(u.rlike(r"^(?i)https?://[^/?#]").alias("ok"), F.lower(u).alias("low"), F.lower(url_rest(u)).alias("path"), url_host(u).alias("host")), judge)
+
+
+def _any_of(texts: list[str]) -> str:
+    return "|".join("\\Q" + t + "\\E" for t in texts)
+
+
+def host_key(url: Column) -> Column:
+    """``host:port``, the port explicit or the scheme's default; empty where there is no host. A scheme other than http
+    and https has port 80 by default."""
+    host = url_host(url)
+    return F.when(host == "", F.lit("")).otherwise(F.concat_ws(":", host, F.coalesce(url_port(url), F.lit(80)).cast("string")))
+
+
+def legacy_rank_url(base: Column, href: Column) -> Column:
+    """The older form of link targets for ranks: resolved as ``resolve_url`` does, always with a port, path escapes
+    decoded, without query and fragment."""
+    def form(u: Column) -> Column:
+        path = F.regexp_replace(url_rest(u), r"[?#].*$", "")
+        return F.concat(url_scheme(u), F.lit("://"), host_key(u), F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path))
+
+    return _let(resolve_url(base, href), form)
 
 
 def robots_rules(robots_txt: Column, agent: str = "weftline") -> Column:

@@ -3,11 +3,14 @@ are column expressions, so that filters and columns reach the scan and nothing l
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import cut
+
 Expr = Callable[[Column], Column]
 
 
@@ -77,9 +80,14 @@ class Dataset:
     def collect(self) -> list:
         return [r[0] for r in self.df.collect()]
 
-    def save_as_table(self, name: str) -> None:
-        """Fails if the table exists."""
-        self.df.write.mode("errorifexists").saveAsTable(name)
+    def map_batches(self, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Dataset:
+        """For code that is no column expression: ``f`` gets the values in Arrow batches (column ``value``) and gives
+        batches of a column ``value`` of strings; null values are dropped."""
+        return Dataset(self.df.mapInArrow(f, "value string").where(F.col("value").isNotNull()))
+
+    def save_as_table(self, name: str, path: str | None = None) -> None:
+        """Fails if the table exists. With a ``path`` the files lie there and stay when the table is dropped."""
+        _save(self.df, name, path)
 
     def for_each_partition(self, f: Callable) -> None:
         """Side effects on the executors, for a partition at a time; a task that runs again repeats them."""
@@ -109,8 +117,8 @@ class PairDataset:
         return PairDataset(self.df.groupBy("key").agg(agg(F.col("value")).alias("value")))
 
     def fold_ordered(self, zero: Column, f: Callable[[Column, Column], Column]) -> PairDataset:
-        """A fold that needs all values of a key in order. A key's values come together in one task: only for keys
-        whose number of values is bounded."""
+        """A fold that needs all values of a key one after the other, in ascending order of the values (bags keep no order of
+        arrival). A key's values come together in one task: only for keys whose number of values is bounded."""
         values = F.array_sort(F.collect_list("value"))
         return PairDataset(self.df.groupBy("key").agg(F.aggregate(values, zero, f).alias("value")))
 
@@ -120,9 +128,37 @@ class PairDataset:
     def collect(self) -> list[tuple]:
         return [(r["key"], r["value"]) for r in self.df.collect()]
 
-    def save_as_table(self, name: str) -> None:
-        """One row for each key; of several values the largest stays, on every run the same."""
-        self.df.groupBy("key").agg(F.max("value").alias("value")).write.mode("errorifexists").saveAsTable(name)
+    def save_as_table(self, name: str, path: str | None = None) -> None:
+        """One row for each key; of several values the largest stays, on every run the same. Fails if the table exists."""
+        _save(self.df.groupBy("key").agg(F.max("value").alias("value")), name, path)
+
+    def map_batches(self, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> PairDataset:
+        """As ``Dataset.map_batches``, over columns ``key`` and ``value``, both strings in the result."""
+        return PairDataset(self.df.mapInArrow(f, "key string, value string"))
+
+    def for_each_partition(self, f: Callable) -> None:
+        """Side effects on the executors, for a partition of rows (key, value) at a time; a task that runs again repeats
+        them."""
+        self.df.foreachPartition(f)
+
+
+class JobOutput:
+    """What a job says to its caller, in order; "No output" if it said nothing."""
+
+    def __init__(self):
+        self.said: list[str] = []
+
+    def output(self, text: str | None) -> None:
+        if text is not None:
+            self.said.append(text)
+
+    def text(self) -> str:
+        return "".join(self.said) or "No output"
+
+
+def _save(df: DataFrame, name: str, path: str | None) -> None:
+    writer = df.write.mode("errorifexists")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def default_join(left: DataFrame, right: DataFrame, on: str, defaults: dict[str, Column]) -> DataFrame:
@@ -159,6 +195,9 @@ def per_key_limit(df: DataFrame, key: str, order: list[Column], most: int) -> Da
 def page_of(df: DataFrame, order: list[Column], page: int, size: int = 10) -> DataFrame:
     """Page ``page`` (from 1) in the given order; pages beyond the last give the last one, below 1 the first.
 
-    The number of rows is counted once; the page itself is a top-k with an offset."""
-    total = max(1, -(-df.count() // size))
-    return df.orderBy(*order).offset((min(max(page, 1), total) - 1) * size).limit(size)
+    The rows up to the end of the page are a top-k, computed once and written; how many there are tells whether the
+    page is beyond the last."""
+    page = max(page, 1)
+    top = cut(df.orderBy(*order).limit(page * size), "page")
+    last = max(1, -(-top.count() // size))
+    return top.orderBy(*order).offset((min(page, last) - 1) * size).limit(size)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +49,21 @@ def get_row(df: DataFrame, key: Column | str | int, name: str = "key") -> DataFr
     return df.where(F.col(name) == key).limit(1)
 
 
+def get_rows(df: DataFrame, keys: DataFrame, name: str = "key") -> DataFrame:
+    """The rows whose key is among ``keys``: many point reads as one join."""
+    return df.join(keys.select(name).distinct(), name, "left_semi")
+
+
+def exist_rows(df: DataFrame, keys: DataFrame, name: str = "key") -> DataFrame:
+    """(key, there) for each of the different ``keys``."""
+    there = df.select(name).distinct().withColumn("_there", F.lit(True))
+    return keys.select(name).distinct().join(there, name, "left").select(name, F.coalesce("_there", F.lit(False)).alias("there"))
+
+
 class KVTable:
-    """A named table as a folder of log files. Versions are given by the writer or count up with each call."""
+    """A named table as a folder of log files. Versions are given by the writer; where they are not, they are
+    microseconds of the clock, larger than the last one of this object, and no entry needs to be read to write
+    another."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -66,7 +81,8 @@ class KVTable:
         return self.spark.read.schema(LOG).parquet(self.path) if self.exists() else self.spark.createDataFrame([], LOG)
 
     def next_version(self) -> int:
-        return (self.log().agg(F.max("version")).first()[0] or 0) + 1
+        self._last = max(getattr(self, "_last", 0) + 1, time.time_ns() // 1000)
+        return self._last
 
     def put(self, cells: DataFrame, version: int | None = None) -> int:
         """Appends (key, col, value) rows, or (key, col, value, version) as they are."""
@@ -78,8 +94,8 @@ class KVTable:
 
     def put_row(self, key: str, row: dict[str, str]) -> int:
         """Replaces all columns of a row."""
-        v = self.delete_row(key)
-        return self.put(self.spark.createDataFrame([(key, c, x) for c, x in row.items()], "key string, col string, value string"), v + 1)
+        self.delete_row(key)
+        return self.put(self.spark.createDataFrame([(key, c, x) for c, x in row.items()], "key string, col string, value string"))
 
     def delete_row(self, key: str) -> int:
         v = self.next_version()

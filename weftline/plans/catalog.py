@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import html as H
 from weftline.functions import text as T
 from weftline.functions import url as U
 from weftline.operators import kv
-from weftline.operators.dataset import Dataset, PairDataset, append_capped, default_join, page_of, per_key_limit
+from weftline.operators.dataset import Dataset, JobOutput, PairDataset, append_capped, default_join, page_of, per_key_limit
 from weftline.operators.salted import normal_word, salted_counts
 from weftline.plans import crawl as C
 from weftline.plans import index as I
 from weftline.plans import pagerank as P
 from weftline.plans import search as S
-from weftline.session import scratch
-from weftline.sources.tables import read_table, stream_table
+from weftline.session import cut, scratch
+from weftline.sources.tables import read_table, stream_table, table_names
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,6 +287,90 @@ def take_ordered(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15)
 
 
+@query("select n_name as value from nation order by n_name limit 7")
+def take_values(spark: SparkSession, d: str) -> DataFrame:
+    """The first values of a sorted bag, taken to the caller and made a bag again."""
+    names = Dataset(_t(spark, d, "nation").select(F.col("n_name").alias("value")).orderBy("n_name"))
+    return Dataset.parallelize(spark, names.take(7)).df
+
+
+@query("select r_name as value from region")
+def collect_values(spark: SparkSession, d: str) -> DataFrame:
+    return Dataset.parallelize(spark, Dataset.from_table(_t(spark, d, "region"), F.col("r_name")).collect()).df
+
+
+@query("select count(*) as pairs from orders where o_orderstatus is not null")
+def pair_count(spark: SparkSession, d: str) -> DataFrame:
+    pairs = Dataset.from_table(_t(spark, d, "orders"), F.col("o_orderstatus")).map_to_pair(lambda v: v, lambda v: F.lit("1"))
+    return spark.createDataFrame([(pairs.count(),)], "pairs bigint")
+
+
+def _saved(spark: SparkSession, bag: Dataset | PairDataset, schema: str) -> DataFrame:
+    """Saves a bag as a table of the catalogue and reads its files; the entry of the catalogue goes again."""
+    path = scratch(spark, "table")
+    name = "weftline_" + path.rsplit("-", 1)[1]
+    bag.save_as_table(name, path)
+    spark.sql(f"drop table {name}")
+    return spark.read.schema(schema).parquet(path)
+
+
+@query("select upper(c_name) as value from customer")
+def save_table(spark: SparkSession, d: str) -> DataFrame:
+    return _saved(spark, Dataset.from_table(_t(spark, d, "customer"), F.upper("c_name")), "value string")
+
+
+@query("select o_orderstatus as key, max(o_orderpriority) as value from orders group by 1")
+def pair_save_table(spark: SparkSession, d: str) -> DataFrame:
+    """Saving pairs as a table: of a key's values one stays."""
+    pairs = PairDataset(_t(spark, d, "orders").select(F.col("o_orderstatus").alias("key"), F.col("o_orderpriority").alias("value")))
+    return _saved(spark, pairs, "key string, value string")
+
+
+@query("select * from (values ('x'), ('y'), ('y')) t(value)")
+def parallelize_to_table(spark: SparkSession, d: str) -> DataFrame:
+    return _saved(spark, Dataset.parallelize(spark, ["x", "y", "y"]), "value string")
+
+
+@query(f"with {_TOKENS} select w as value from terms where length(w) > 8")
+def flatmap_to_table(spark: SparkSession, d: str) -> DataFrame:
+    return _saved(spark, _doc_texts(spark, d).flat_map(lambda v: F.filter(T.document_terms(v), lambda w: F.length(w) > 8)), "value string")
+
+
+@query("select s_name[length(s_name):] || '.' as value from supplier")
+def map_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Code that is no column expression, over Arrow batches."""
+
+    def last_letter(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([v[-1] + "." for v in b.column(0).to_pylist()], pa.string())], ["value"])
+
+    return Dataset.from_table(_t(spark, d, "supplier"), F.col("s_name")).map_batches(last_letter).df
+
+
+@query("select (select count(*) from part) as seen, (select count(*) from orders) as pairs, 'done, 2 jobs' as said")
+def for_each_output(spark: SparkSession, d: str) -> DataFrame:
+    """Side effects on the executors, here counting, for values and for pairs, and what the job says in the end."""
+    seen, pairs, out = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), JobOutput()
+    Dataset.from_table(_t(spark, d, "part"), F.col("p_name")).for_each_partition(lambda rows: seen.add(sum(1 for _ in rows)))
+    PairDataset(_t(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"))).for_each_partition(lambda rows: pairs.add(sum(1 for _ in rows)))
+    out.output("done, ")
+    out.output("2 jobs")
+    return spark.createDataFrame([(seen.value, pairs.value, out.text())], "seen bigint, pairs bigint, said string")
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT')")
+def multi_get(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    return kv.get_rows(o, o.where("o_orderpriority = '1-URGENT'"), "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("select c_custkey as o_custkey, c_custkey in (select o_custkey from orders) as there from customer")
+def exist_rows(spark: SparkSession, d: str) -> DataFrame:
+    return kv.exist_rows(_t(spark, d, "orders"), _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+
+
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10 offset 20")
 def paginate(spark: SparkSession, d: str) -> DataFrame:
     return page_of(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 3)
@@ -304,15 +388,6 @@ def per_key_first(spark: SparkSession, d: str) -> DataFrame:
     return per_key_limit(_t(spark, d, "orders"), "o_custkey", [F.desc("o_orderdate"), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey")
 
 
-@query("select o_orderstatus as key, max(o_orderpriority) as value from orders group by 1")
-def pair_save_last(spark: SparkSession, d: str) -> DataFrame:
-    """Saving pairs as a table: of a key's values one stays."""
-    pairs = PairDataset(_t(spark, d, "orders").select(F.col("o_orderstatus").alias("key"), F.col("o_orderpriority").alias("value")))
-    path = scratch(spark, "pairs")
-    pairs.fold_by_key(F.max).df.write.parquet(path)
-    return spark.read.schema("key string, value string").parquet(path)
-
-
 # ---------------------------------------------------------------- key-value tables, with events as their log
 
 
@@ -346,10 +421,10 @@ def kv_cond_put(spark: SparkSession, d: str) -> DataFrame:
     return kv.conditional(now, puts).select("key", "result", F.col("value").cast("double").alias("value"))
 
 
-@query(f"with {_KV} select key, col, arg_max(value, version) as value from cells where key not in (select user_id::varchar from events where event_type = 'error') group by 1, 2")
+@query(f"with {_KV} select key, col, arg_max(value, version) as value from cells where key not in (select user_id::varchar from events where event_type = 'error' and value > 95) group by 1, 2")
 def kv_delete_row(spark: SparkSession, d: str) -> DataFrame:
     log = _cells(spark, d)
-    gone = log.where("col = 'error'").select("key").distinct()
+    gone = log.where("col = 'error' and double(value) > 95").select("key").distinct()
     return kv.delete_rows(kv.latest(log), gone).select("key", "col", F.col("value").cast("double").alias("value"))
 
 
@@ -361,18 +436,55 @@ def kv_table_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return table.compact(scratch(spark, "kv")).rows().select("key").distinct().agg(F.count("*").alias("n"))
 
 
+_NATION_CELLS = "cells as (select n_nationkey::varchar as key, 'name' as col, n_name as value from nation union all select n_nationkey::varchar, 'region', n_regionkey::varchar from nation)"
+
+
+def _nation_table(spark: SparkSession, d: str) -> kv.KVTable:
+    table = kv.KVTable(spark, scratch(spark, "kv"))
+    n = _t(spark, d, "nation")
+    cell = lambda col, c: n.select(F.col("n_nationkey").cast("string").alias("key"), F.lit(col).alias("col"), F.col(c).cast("string").alias("value"))
+    table.put(cell("name", "n_name").unionByName(cell("region", "n_regionkey")))
+    return table
+
+
+@query(f"with {_NATION_CELLS} select k.key, k.col, value from (values ('3', 'name'), ('3', 'region'), ('24', 'name'), ('24', 'flag'), ('99', 'name')) k(key, col) left join cells using (key, col)")
+def kv_get_cells(spark: SparkSession, d: str) -> DataFrame:
+    table = _nation_table(spark, d)
+    asked = [("3", "name"), ("3", "region"), ("24", "name"), ("24", "flag"), ("99", "name")]
+    return spark.createDataFrame([(k, c, table.get(k, c)) for k, c in asked], "key string, col string, value string")
+
+
+@query(f"with {_NATION_CELLS} select key, col, value from cells where key not in ('5', '7') union all select * from (values ('5', 'name', 'NEW'), ('5', 'flag', 'f')) t(key, col, value)")
+def kv_put_row(spark: SparkSession, d: str) -> DataFrame:
+    """A row replaced as a whole, and one deleted."""
+    table = _nation_table(spark, d)
+    table.put_row("5", {"name": "NEW", "flag": "f"})
+    table.delete_row("7")
+    return table.rows().select("key", "col", "value")
+
+
+@query(f"with {_NATION_CELLS} select *, false as old_there, true as new_there, false as dropped_there from cells")
+def kv_rename_drop(spark: SparkSession, d: str) -> DataFrame:
+    """A table under a new name, and one that is dropped."""
+    old, gone = _nation_table(spark, d), _nation_table(spark, d)
+    new = old.rename(scratch(spark, "kv"))
+    gone.drop()
+    return new.rows().select("key", "col", "value", F.lit(old.exists()).alias("old_there"), F.lit(new.exists()).alias("new_there"), F.lit(gone.exists()).alias("dropped_there"))
+
+
 @query("select n_nationkey, sha1(n_nationkey::varchar || '|n_name=' || n_name || '|n_regionkey=' || n_regionkey::varchar) as fingerprint from nation")
 def row_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "nation").select("n_nationkey", T.row_fingerprint(F.col("n_nationkey"), {"n_regionkey": F.col("n_regionkey"), "n_name": F.col("n_name")}).alias("fingerprint"))
 
 
-_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "crawl", "frontier", "visited", "hosts", "postings", "vocab", "tfidf", "page_meta"]
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings crawl frontier visited hosts postings vocab tfidf page_meta search_terms key_pages lang_samples".split()
 
 
 @query(" union all ".join(f"select '{t}' as name, count(*) as rows from {t}" for t in _TABLES))
 def table_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The tables that a listing of the folder shows, with their rows, which come from the files' footers."""
     out = None
-    for t in _TABLES:
+    for t in table_names(spark, d):
         one = _t(spark, d, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("name"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
@@ -384,10 +496,52 @@ _REST = r"'^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(.*)$'"
 
 
 @query(rf"""select url, lower(regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) as scheme, lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1)) as host,
-case when not regexp_matches(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://') then url when regexp_extract(url, {_REST}, 1) = '' then '/' else regexp_extract(url, {_REST}, 1) end as rest from frontier""")
+case when lower(url) similar to '\s*https://.*' and p = '' then 443 when lower(url) similar to '\s*http://.*' and p = '' then 80 else try_cast(nullif(p, '') as int) end as port, case when not regexp_matches(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://') then url when regexp_extract(url, {_REST}, 1) = '' then '/' else regexp_extract(url, {_REST}, 1) end as rest from (select url, regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#:]*:([0-9]+)(?:[/?#]|$)', 1) as p from frontier)""")
 def url_parse(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("url")
-    return _t(spark, d, "frontier").select("url", U.url_scheme(u).alias("scheme"), U.url_host(u).alias("host"), U.url_rest(u).alias("rest"))
+    return _t(spark, d, "frontier").select("url", U.url_scheme(u).alias("scheme"), U.url_host(u).alias("host"), U.url_port(u).alias("port"), U.url_rest(u).alias("rest"))
+
+
+@query(r"""with a as (select queue_id, lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1)) as h, regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#:]*:([0-9]+)(?:[/?#]|$)', 1) as p, lower(trim(url)) as u from frontier where url is not null)
+select queue_id, case when h = '' then '' else h || ':' || case when p <> '' then p when starts_with(u, 'https:') then '443' else '80' end end as host_key from a""")
+def url_host_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "frontier").where("url is not null").select("queue_id", U.host_key(F.col("url")).alias("host_key"))
+
+
+_CODED = ["a%20b+c", "caf%C3%A9", "100%", "%zz", "plain", ""]
+
+
+@query("select * from (values ('a%20b+c', 'a b c'), ('caf%C3%A9', 'café'), ('100%', '100%'), ('%zz', '%zz'), ('plain', 'plain'), ('', '')) t(url, shown)")
+def decoded_urls(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(u,) for u in _CODED], "url string").select("url", U.decode_url(F.col("url")).alias("shown"))
+
+
+_HREFS = [
+    ("../c#x", "http://h.com/c"), ("//E.com", "http://e.com/"), ("https://h.com:443/p?q=1", "https://h.com/p?q=1"), ("mailto:x", None), ("?y=2", "http://h.com/a/b.html?y=2"), ("d/./e/../f/", "http://h.com/a/d/f/"),
+    ("/", "http://h.com/"), ("#top", None), ("", None), ("HTTPS://E.com/", "https://e.com/"), ("ftp://h.com/x", None),
+]
+
+
+@query("select * from (values " + ", ".join(f"('{h}', {repr(t) if t else 'null'})" for h, t in _HREFS) + ") t(href, target)")
+def resolved_hrefs(spark: SparkSession, d: str) -> DataFrame:
+    """Links as they are written on the page http://h.com/a/b.html, resolved."""
+    return spark.createDataFrame([(h,) for h, _ in _HREFS], "href string").select("href", U.resolve_url(F.lit("http://h.com/a/b.html"), F.col("href")).alias("target"))
+
+
+_SKIPPED = [("#a", True), (" MAILTO:x", True), ("tel:1", True), ("javascript:void(0)", True), ("data:,x", True), ("about:blank", True), ("ftp://h/", True), ("", True), ("/a", False), ("http://h/", False)]
+
+
+@query("select * from (values " + ", ".join(f"('{h}', {str(s).lower()})" for h, s in _SKIPPED) + ") t(href, skipped)")
+def skippable_hrefs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(h,) for h, _ in _SKIPPED], "href string").select("href", U.is_skippable_href(F.col("href")).alias("skipped"))
+
+
+_LEGACY = [("c.html?q=1#x", "http://h.com:80/a/c.html"), ("https://E.com", "https://e.com:443/"), ("http://h.com:8080/a%20b", "http://h.com:8080/a b"), ("mailto:x", None)]
+
+
+@query("select * from (values " + ", ".join(f"('{h}', {repr(t) if t else 'null'})" for h, t in _LEGACY) + ") t(href, target)")
+def legacy_rank_urls(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(h,) for h, _ in _LEGACY], "href string").select("href", U.legacy_rank_url(F.lit("http://h.com/a/b.html"), F.col("href")).alias("target"))
 
 
 @query(r"""with a as (select queue_id, regexp_replace(regexp_replace(url, '^\s+|\s+$', '', 'g'), '#.*$', '') as u from frontier),
@@ -401,26 +555,61 @@ def url_normalize(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "frontier").select("queue_id", U.normalize_url(F.col("url")).alias("canonical"))
 
 
-def _policy_sql() -> str:
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    path = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1))"
-    tests = [r"regexp_matches(url, '^(?i)https?://[^/?#]')", r"regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1) <> ''"]
-    tests += [f"not ends_with({path}, {q(s)})" for s in U.BLOCKED_SUFFIXES]
-    tests += [f"not contains(lower(url), {q(s)})" for s in U.BLOCKED_PARTS] + [f"not contains({path}, {q(s)})" for s in U.LANGUAGE_DIRS]
-    return " and ".join(tests)
+def _policy_sql(u: str) -> str:
+    """The crawl policy as patterns, written apart from the lists of ``functions.url``."""
+    host = rf"lower(regexp_extract({u}, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1))"
+    rest = rf"lower(regexp_extract({u}, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(.*)$', 1))"
+    return rf"""(regexp_matches({u}, '^(?i)https?://[^/?#]') and {host} <> ''
+ and not regexp_full_match({host}, '((www\.)?(facebook|twitter|instagram|linkedin|youtube|tiktok|reddit|quora|medium|pinterest)\.com)|t\.co|(m\.)?baidu\.com|translate\.google\.com|doubleclick\.net|googletagmanager\.com|google-analytics\.com|adservice\.google\.com|scorecardresearch\.com|taboola\.com|outbrain\.com|(api|static)\.nytimes\.com|api\.bbc\.com|cdn\.(cnn|britannica)\.com|akamaihd\.net|cloudfront\.net|fastly\.net|localhost|127\.0\.0\.1')
+ and not regexp_matches({rest}, '\.(jpg|jpeg|png|gif|svg|webp|mp4|mov|avi|mkv|webm|mp3|wav|pdf|doc|docx|ppt|pptx|xls|xlsx|zip|tar|gz|tgz|rar|7z|css|js|woff|woff2|ttf|eot|php|aspx)$')
+ and not regexp_matches(lower({u}), '[?&]utm_|gclid=|fbclid=|\?ref=|\?source=|/(login|signin|logout|subscribe|account|profile|register|checkout|cart|calendar|graphql)|/search\?|/\?q=|query=|/(events|year|month|day|api|ajax|feeds|print)/|/share\?|/facebook\.com/sharer|/twitter\.com/share|\.json|\.xml|\?print|;jsessionid=')
+ and not regexp_matches({rest}, '/(es|de|fr|ja|zh|ru|ar)/'))"""
 
 
-@query(f"select queue_id, coalesce({_policy_sql()}, false) as crawl from frontier")
+@query(f"select queue_id, coalesce({_policy_sql('url')}, false) as crawl from frontier")
 def url_should_crawl(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "frontier").select("queue_id", U.should_crawl(F.col("url")).alias("crawl"))
 
 
-@query()
+_POLICY = [
+    ("http://a.com/x.mkv", False), ("http://a.com/x.TGZ", False), ("http://a.com/favicon.ico", True), ("http://a.com/x.bmp", True), ("http://a.com/twitter.com/share", False), ("http://a.com/facebook.com/sharer", False),
+    ("http://www.youtube.com/", False), ("http://music.youtube.com/", True), ("http://LOCALHOST:80/", False), ("https://a.com/DE/x", False), ("https://a.com/?utm_x=1", False), ("https://a.com/loginpage", False),
+    ("https://a.com/x.php?y=1", True), ("https://a.com/?f=x.php", False), ("ftp://a.com/", False), ("http:///x", False), ("", False),
+]
+
+
+@query("select * from (values " + ", ".join(f"('{u}', {str(ok).lower()})" for u, ok in _POLICY) + ") t(url, crawl)")
+def crawl_policy_cases(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(u,) for u, _ in _POLICY], "url string").select("url", U.should_crawl(F.col("url")).alias("crawl"))
+
+
+_HOST = r"lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1))"
+# Lines of robots files in groups: a user-agent line after a rule begins a group; a host's own group counts, else that of all.
+_ROBOTS = r"""rb0 as (select lower(host) as host, string_split_regex(regexp_replace(robots_txt, '#[^\r\n]*', '', 'g'), '\r\n|\r|\n') as l from hosts where host is not null and robots_status between 200 and 299 and robots_txt is not null),
+rb1 as (select host, unnest(l) as line, generate_subscripts(l, 1) as i from rb0),
+rb2 as (select host, i, lower(trim(regexp_extract(line, '^([^:]*):', 1))) as f, trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) as v from rb1),
+rb3 as (select *, lag(f) over (partition by host order by i) as before from rb2 where f in ('user-agent', 'allow', 'disallow')),
+rb4 as (select *, sum(case when f = 'user-agent' and before is not null and before <> 'user-agent' then 1 else 0 end) over (partition by host order by i) as g from rb3),
+rb5 as (select *, bool_or(f = 'user-agent' and lower(v) = 'weftline') over (partition by host, g) as own, bool_or(f = 'user-agent' and v = '*') over (partition by host, g) as every, bool_or(f = 'user-agent' and lower(v) = 'weftline') over (partition by host) as named from rb4),
+robots as (select host, f, v from rb5 where f <> 'user-agent' and v <> '' and case when named then own else every end)"""
+
+
+def _denied_sql(source: str, key: str, host: str, path: str) -> str:
+    """The keys of a table whose path the longest matching rule of the host forbids, on equal length Allow before Disallow."""
+    return f"""select {key} from (select s.{key}, r.f, row_number() over (partition by s.{key} order by length(r.v) desc, r.f) as n from {source} s join robots r on r.host = s.{host} and starts_with(s.{path}, r.v)) where n = 1 and f = 'disallow'"""
+
+
+@query(rf"""with {_ROBOTS}, f as (select queue_id, {_HOST} as host, case when not regexp_matches(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://') then url when regexp_extract(url, {_REST}, 1) = '' then '/' else regexp_extract(url, {_REST}, 1) end as path from frontier),
+g as (select * from f where host <> ''), no as ({_denied_sql("g", "queue_id", "host", "path")}),
+dl as (select lower(host) as host, coalesce(try_cast(nullif(regexp_extract(robots_txt, '(?im)^[ \t]*crawl-delay[ \t]*:[ \t]*([0-9]+(?:\.[0-9]+)?)', 1), '') as double), 1.0) as delay from hosts)
+select queue_id, queue_id not in (select queue_id from no) as allowed, coalesce(delay, 1.0) as delay from g left join dl using (host)""")
 def robots_check(spark: SparkSession, d: str) -> DataFrame:
     """Which frontier urls their host's robots rules allow, with the delay asked for; hosts are joined by name."""
-    rules = _t(spark, d, "hosts").select("host", U.robots_rules(F.col("robots_txt")).alias("rules"), U.robots_delay(F.col("robots_txt")).alias("delay"))
-    f = _t(spark, d, "frontier").select("queue_id", U.url_host(F.col("url")).alias("host"), U.url_rest(F.col("url")).alias("path")).where("host is not null and host <> ''")
-    return f.join(rules, "host", "left").select("queue_id", F.coalesce(U.robots_allowed(F.col("rules"), F.col("path")), F.lit(True)).alias("allowed"), F.coalesce("delay", F.lit(1.0)).alias("delay"))
+    hosts = _t(spark, d, "hosts")
+    delays = hosts.select(F.lower("host").alias("host"), U.robots_delay(F.col("robots_txt")).alias("delay"))
+    f = _t(spark, d, "frontier").select("queue_id", U.url_host(F.col("url")).alias("host"), U.url_rest(F.col("url")).alias("path")).where("host <> ''")
+    joined = f.join(C.host_rules(hosts), "host", "left").join(delays, "host", "left")
+    return joined.select("queue_id", F.coalesce(U.robots_allowed(F.col("rules"), F.col("path")), F.lit(True)).alias("allowed"), F.coalesce("delay", F.lit(1.0)).alias("delay"))
 
 
 @query(r"""select host, coalesce(try_cast(nullif(regexp_extract(robots_txt, '(?im)^[ \t]*crawl-delay[ \t]*:[ \t]*([0-9]+(?:\.[0-9]+)?)', 1), '') as double), 1.0) as delay from hosts""")
@@ -435,9 +624,9 @@ def host_politeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with h as (select queue_id, url, lower(regexp_extract(url, '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#:]*)', 1)) as host from frontier where url is not null)
-select queue_id from (select queue_id, row_number() over (partition by host order by queue_id) as n from h) where n <= 5""")
+select queue_id from (select queue_id, row_number() over (partition by host order by queue_id) as n from h) where n <= 500""")
 def host_cap(spark: SparkSession, d: str) -> DataFrame:
-    return C.host_capped(_t(spark, d, "frontier").where("url is not null"), ["queue_id"], 5).select("queue_id")
+    return C.host_capped(_t(spark, d, "frontier").where("url is not null"), ["queue_id"]).select("queue_id")
 
 
 # ---------------------------------------------------------------- pages
@@ -445,13 +634,31 @@ def host_cap(spark: SparkSession, d: str) -> DataFrame:
 _TXT = f"with {_PAGES}, t as (select url, {_text()} as html from pages)"
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return I.latest_pages(_t(spark, d, "crawl"))
+def _pages(spark: SparkSession, d: str, **columns: Column) -> DataFrame:
+    """What the columns give for the latest page of each url."""
+    return I.latest(_t(spark, d, "crawl"), **columns)
+
+
+def _html(limit: int | None = H.PAGE_BYTES) -> Column:
+    return H.page_text(F.col("page"), F.col("content_type"), limit)
 
 
 @query(f"with {_PAGES} select url, octet_length(page)::bigint as bytes, md5(page) as digest from pages")
 def cached_page(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("url", F.octet_length("page").cast("bigint").alias("bytes"), F.md5("page").alias("digest"))
+    return _pages(spark, d, bytes=F.octet_length("page").cast("bigint"), digest=F.md5("page"))
+
+
+@query(f"with {_PAGES} select url, md5({_text(None)}) as digest from pages where url in (select url from key_pages)")
+def cached_page_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The stored pages of the urls asked for."""
+    return I.cached_pages(_t(spark, d, "crawl"), _t(spark, d, "key_pages")).select("url", F.md5("html").alias("digest"))
+
+
+@query(f"with {_PAGES} select url, md5({_text(None)}) as digest from pages where url = (select min(url) from crawl where page is not null)")
+def cached_page_by_url(spark: SparkSession, d: str) -> DataFrame:
+    crawl = _t(spark, d, "crawl")
+    url = crawl.where("page is not null").agg(F.min("url")).first()[0]
+    return I.cached_page(crawl, url).select("url", F.md5("html").alias("digest"))
 
 
 _TITLE = _collapse(_sub(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)", r"<[^>]+>"))
@@ -459,7 +666,7 @@ _TITLE = _collapse(_sub(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>',
 
 @query(f"{_TXT}, x as (select url, {_TITLE} as t from t) select url, case when t = '' then url when length(t) > 120 then t[1:120] || '...' else t end as title from x")
 def html_title(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("url", H.title(H.page_text(F.col("page"), F.col("content_type")), F.col("url")).alias("title"))
+    return _pages(spark, d, title=H.title(_html(), F.col("url")))
 
 
 def _body_sql(strip: str, body: str) -> str:
@@ -468,17 +675,17 @@ def _body_sql(strip: str, body: str) -> str:
 
 @query(_body_sql(*_index_body("html")))
 def html_body_index(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("url", F.md5(H.body_for_index(H.page_text(F.col("page"), F.col("content_type")))).alias("digest"))
+    return _pages(spark, d, digest=F.md5(H.body_for_index(_html())))
 
 
 @query(_body_sql(*_tfidf_body("html")))
 def html_body_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("url", F.md5(H.body_for_tfidf(H.page_text(F.col("page"), F.col("content_type")))).alias("digest"))
+    return _pages(spark, d, digest=F.md5(H.body_for_tfidf(_html())))
 
 
 @query(f"{_TXT} select url, md5({_rank_body('html')}) as digest from t")
 def html_body_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("url", F.md5(H.body_for_rank(H.page_text(F.col("page"), F.col("content_type")))).alias("digest"))
+    return _pages(spark, d, digest=F.md5(H.body_for_rank(_html())))
 
 
 def _meta_sql(attr: str, name: str) -> str:
@@ -495,21 +702,54 @@ _SEMANTIC = "coalesce(" + ", ".join(rf"nullif(regexp_extract(html, '(?is)<{t}\b[
 y as (select url, trim(coalesce(a, b, {_collapse(_sub("case when length(c) > 300 then substr(c, 301) else c end", r"<[^>]+>"))})) as s from x)
 select url, case when length(s) > 200 then s[1:200] || '...' else s end as snippet from y""")
 def html_snippet(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("url", H.snippet(H.page_text(F.col("page"), F.col("content_type"))).alias("snippet"))
+    return _pages(spark, d, snippet=H.snippet(_html()))
 
 
 _HREF = r"""'(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'"""
 
 
-@query(rf"""{_TXT}, x as (select url, regexp_extract_all(html, {_HREF}, 1) as l from t), y as (select url, unnest(l) as href, generate_subscripts(l, 1) - 1 as pos from x)
-select url, pos::int as pos, trim(regexp_replace(href, '^["'']|["'']$', '', 'g')) as href from y""")
+
+def _hrefs_sql(limit: int | None) -> str:
+    """CTEs up to ``y``: the links (url, pos, href) of the latest pages."""
+    return rf"""{_PAGES}, t as (select url, {_text(limit)} as html from pages), x as (select url, regexp_extract_all(html, {_HREF}, 1) as l from t), y0 as (select url, unnest(l) as href, generate_subscripts(l, 1) - 1 as pos from x),
+y as (select url, pos::int as pos, trim(regexp_replace(href, '^["'']|["'']$', '', 'g')) as href from y0)"""
+
+
+def _canon_sql(name: str, source: str, col: str) -> str:
+    """CTEs up to ``name``: the rows of ``source`` with ``canon``, the canonical form of the url in ``col``."""
+    n = name
+    return rf"""{n}1 as (select *, regexp_replace(regexp_replace({col}, '^\s+|\s+$', '', 'g'), '\s*#.*$', '') as u_ from {source}),
+{n}2 as (select *, lower(regexp_extract(u_, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) as s_, lower(regexp_extract(u_, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?]*)', 1)) as h_, regexp_extract(u_, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*([^?]*)', 1) as p_, regexp_extract(u_, '^[A-Za-z][A-Za-z0-9+.\-]*://[^?]*(\?.*)$', 1) as q_ from {n}1),
+{n}3 as (select *, case when s_ = 'http' then regexp_replace(h_, ':(80)?$', '') when s_ = 'https' then regexp_replace(h_, ':(443)?$', '') else regexp_replace(h_, ':$', '') end as k_, string_split(substr(p_, 2), '/') as a_ from {n}2),
+{n}4 as (select *, list_reduce(list_transform(list_filter(a_, lambda x: x <> '.'), lambda x: [x]), lambda acc, x: case when x[1] = '..' then acc[1:len(acc) - 1] else list_concat(acc, x) end, []::varchar[]) as g_ from {n}3),
+{n} as (select * exclude (u_, s_, h_, p_, q_, k_, a_, g_), case when u_ = '' or u_ is null then null when s_ = '' then u_ else s_ || '://' || k_ || case when p_ = '' then '/' when not regexp_matches(p_, '/\.\.?(/|$)') then p_
+ else '/' || array_to_string(g_, '/') || case when a_[-1] in ('.', '..') and len(g_) > 0 then '/' else '' end end || q_ end as canon from {n}4)"""
+
+
+def _resolve_sql(name: str, source: str) -> str:
+    """CTEs up to ``name``: the links of ``source`` (url, href, ...) that aren't skipped, with their absolute ``canon``."""
+    return rf"""{name}a as (select *, regexp_replace(regexp_replace(href, '^\s+|\s+$', '', 'g'), '\s*#.*$', '') as h, regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) as root,
+ regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.\-]*):', 1) as sch, regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) as path from {source}
+ where not regexp_matches(lower(trim(href)), '^(#|mailto:|tel:|javascript:|data:|about:|ftp:)') and trim(href) <> ''),
+{name}b as (select * exclude (h, root, sch, path), case when h = '' or root = '' then null when regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.\-]*:') then h when starts_with(h, '//') then sch || ':' || h when starts_with(h, '/') then root || h
+ when starts_with(h, '?') then root || case when path = '' then '/' else path end || h else root || case when path = '' then '/' else regexp_replace(path, '[^/]*$', '') end || h end as full_ from {name}a),
+{_canon_sql(name + "c", name + "b", "full_")},
+{name} as (select * from {name}c where regexp_matches(canon, '^https?://[^/]'))"""
+
+
+@query(f"with {_hrefs_sql(None)} select url, pos, href from y")
 def html_links(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("url", F.posexplode(H.hrefs(H.page_text(F.col("page"), F.col("content_type"), limit=None))).alias("pos", "href"))
+    return _pages(spark, d, hrefs=H.hrefs(_html(None))).select("url", F.posexplode("hrefs").alias("pos", "href"))
 
 
-@query()
+_TOP30 = f"""{_hrefs_sql(H.PAGE_BYTES)}, {_resolve_sql("z", "y")}, zz as (select url, pos, canon as dst from z), {_canon_sql("sr", "zz", "url")},
+lk as (select canon as src, dst, min(pos) as pos from sr where dst <> canon group by 1, 2),
+top30 as (select src, dst, pos from (select *, row_number() over (partition by src order by pos, dst) as r from lk) where r <= 30)"""
+
+
+@query(f"with {_TOP30} select src, dst, pos from top30")
 def links_top30(spark: SparkSession, d: str) -> DataFrame:
-    return P.page_links(_pages(spark, d))
+    return P.links_of(_pages(spark, d, hrefs=H.hrefs(_html())))
 
 
 # ---------------------------------------------------------------- index, weights, ranks
@@ -529,12 +769,12 @@ wts as (select word, url, 1 + ln(c) as tf, ln((pages + 1.0) / (df + 1.0)) as idf
 
 @query(f"with {_INDEX} select word, url, tf from idx")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    return I.build(_t(spark, d, "crawl"))[0]
+    return I.build_index(_t(spark, d, "crawl"))[0]
 
 
 @query(f"with {_INDEX} select word, df from voc")
 def vocab_df(spark: SparkSession, d: str) -> DataFrame:
-    return I.build(_t(spark, d, "crawl"))[1]
+    return I.build_index(_t(spark, d, "crawl"))[1]
 
 
 @query(f"with {_WEIGHTS} select word, url, round(tf, 6) as tf, round(idf, 6) as idf, round(tfidf, 6) as tfidf from wts")
@@ -542,11 +782,24 @@ def tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
     return I.build(_t(spark, d, "crawl"))[2].select("word", "url", *[F.round(c, 6).alias(c) for c in ("tf", "idf", "tfidf")])
 
 
-@query()
+def _converge_sql(rounds: int, tolerance: float) -> str:
+    """Rounds until no rank changes by the tolerance: ranks stay as they are from then on."""
+    out = "q0 as materialized (select id, n, d, 1.0::double / n as rank, false as stop from vt)"
+    for i in range(1, rounds + 1):
+        p = f"q{i - 1}"
+        out += f""", n{i} as materialized (select id, n, d, rank as old, stop, case when stop then rank else 0.15 / n + 0.85 * coalesce(x, 0) + 0.85 * (select coalesce(sum(rank), 0) from {p} where d) / n end as rank
+ from {p} left join (select dst, sum(rank / o) as x from ed join {p} on src = id group by 1) on dst = id),
+q{i} as materialized (select id, n, d, rank, stop or (select max(abs(rank - old)) < {tolerance} from n{i}) as stop from n{i})"""
+    return out
+
+
+@query(f"""with {_TOP30}, ed as materialized (select src, dst, count(*) over (partition by src) as o from top30), {_canon_sql("vc", "pages", "url")}, vs as (select distinct canon as id from vc),
+vt as materialized (select id, count(*) over () as n, id not in (select src from ed) as d from vs), {_converge_sql(P.ROUNDS, P.TOLERANCE)} select id, round(rank, 9) as rank from q{P.ROUNDS}""")
 def pagerank_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d)
-    links = P.page_links(pages).select("src", "dst")
-    return P.pagerank(pages.select(U.normalize_url(F.col("url")).alias("id")), links)
+    """Ranks until no rank changes by the tolerance."""
+    pages = cut(_pages(spark, d, id=U.normalize_url(F.col("url")), hrefs=H.hrefs(_html())), "links")
+    ranks = P.pagerank(pages.select("id"), P.links_of(pages).select("src", "dst"))
+    return ranks.select("id", F.round("rank", 9).alias("rank"))
 
 
 _PARTS = """l as (select distinct l_orderkey, l_linenumber, l_partkey from lineitem where l_returnflag = 'R'),
@@ -630,6 +883,27 @@ def search_diag(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("url").agg(F.slice(F.array_sort(F.collect_list("word")), 1, 5).alias("words"))
 
 
+@query(f"""with {_META}, {_POST}, {_search_sql(['guide', 'water'])} select url, title, round(score, 6) as score from best""")
+def search_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The search over postings that were stored in order of their words: its word filter reaches the scan."""
+    _, wt, meta = _search_tables(spark, d)
+    path = scratch(spark, "postings")
+    S.store_index(_t(spark, d, "postings"), path, normal_word(F.col("word")))
+    return S.search(spark.read.parquet(path), wt, meta, "the Guide water").select("url", "title", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {_META}, {_POST}, {_search_sql(['music', 'school'])}, pt as (select *, row_number() over (partition by word, url order by tfidf desc, tf desc nulls last, idf desc nulls last) as r
+ from (select {_WORD} as word, url, tf, idf, tfidf from tfidf where word is not null and tfidf > 0 and not isnan(tfidf)))
+select b.url, row_number() over (partition by b.url order by case word when 'school' then 1 else 2 end) as pos, word, round(pt.tf, 6) as tf, round(pt.idf, 6) as idf, round(pt.tfidf, 6) as tfidf from best b join pt on pt.url = b.url and pt.r = 1 and word in ('music', 'school')""")
+def term_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    """What each word of the query adds to each result, in the order of the query."""
+    post, wt, meta = _search_tables(spark, d)
+    results = S.search(post, wt, meta, "school music").select("url")
+    rows = _t(spark, d, "tfidf").where((F.col("tfidf") > 0) & ~F.isnan("tfidf")).select(normal_word(F.col("word")).alias("word"), "url", F.struct("tfidf", "tf", "idf").alias("s")).where("word is not null")
+    best = rows.groupBy("word", "url").agg(F.max("s").alias("s")).select("word", "url", "s.*")
+    return S.term_parts(best, results, "school music").select("url", "pos", "word", *[F.round(c, 6).alias(c) for c in ("tf", "idf", "tfidf")])
+
+
 @query("select distinct lower(trim(word)) as word from vocab where word is not null and lower(trim(word)) <> '' and starts_with(lower(trim(word)), 'ma') order by word limit 8")
 def suggest_prefix(spark: SparkSession, d: str) -> DataFrame:
     return S.complete(S.dictionary(_t(spark, d, "vocab")), "Ma")
@@ -734,25 +1008,52 @@ def city_from_json(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- loops and streams
 
 
-@query()
+def _crawl_sql(rounds: int) -> str:
+    """Rounds as joins: what is reached and allowed, then its links that no earlier round had. No cap is reached here."""
+    out = f"""{_canon_sql("wb", "crawl", "url")}, w1 as (select canon as url, page, content_type from (select *, row_number() over (partition by canon order by stored_at desc nulls last, crawl_id desc) as r from wb where page is not null and canon is not null) where r = 1),
+t as (select url, {_text(None)} as html from w1), x as (select url, regexp_extract_all(html, {_HREF}, 1) as l from t), y0 as (select url, unnest(l) as href from x),
+y as (select url, trim(regexp_replace(href, '^["'']|["'']$', '', 'g')) as href from y0), {_resolve_sql("z", "y")}, e as materialized (select distinct url as src, canon as dst from z where {_policy_sql("canon")}), {_ROBOTS},
+hp as (select url, {_HOST} as host, case when regexp_extract(url, {_REST}, 1) = '' then '/' else regexp_extract(url, {_REST}, 1) end as path from w1), no as ({_denied_sql("hp", "url", "host", "path")}),
+ok as materialized (select url from w1 where url not in (select url from no)), {_canon_sql("fc", "frontier", "url")}, f0 as materialized (select distinct canon as url from fc where canon is not null), r0 as materialized (select url from f0 where url in (select url from ok))"""
+    for i in range(1, rounds):
+        seen = "".join(f" except select url from f{k}" for k in range(i))
+        out += f", f{i} as materialized (select distinct dst as url from e join r{i - 1} on src = url{seen}), r{i} as materialized (select url from f{i} where url in (select url from ok))"
+    return out
+
+
+@query(f"with {_crawl_sql(6)} " + " union all ".join(f"select url, {i}::int as depth from r{i}" for i in range(6)))
 def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
-    """From the frontier's urls over the stored pages, until no url is left or the page cap is reached."""
-    return C.crawl(_pages(spark, d), _t(spark, d, "frontier").select("url"))
+    """From the frontier's urls over the stored pages, as far as robots rules allow, until no url is left or the page cap
+    is reached. The SQL has six rounds, which is enough where it is compared, and no cap, which is not reached there."""
+    return C.crawl(_t(spark, d, "crawl"), _t(spark, d, "frontier").select("url"), hosts=_t(spark, d, "hosts"))
 
 
-@query()
+@query(f"with {_INDEX} select word, url, tf from idx")
 def stream_index_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's index is that of all rows at once."""
     from weftline.streaming.incremental import index_incrementally
 
     return index_incrementally(stream_table(spark, d, "crawl"), scratch(spark, "index"))
 
 
-@query()
+@query(f"with {_WEIGHTS} select word, url, round(tfidf, 6) as tfidf from wts")
+def stream_weights_incremental(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.streaming.incremental import maintain_index
+
+    return maintain_index(stream_table(spark, d, "crawl"), scratch(spark, "index"))[2].select("word", "url", F.round("tfidf", 6).alias("tfidf"))
+
+
+@query(rf"""with h as (select lower(host) as host, case when crawl_delay >= 0 then ceil(crawl_delay * 1000)::bigint end as ms from hosts), f as (select {_HOST} as host, epoch_us(queued_at) // 1000 as ts from frontier where queued_at is not null and url is not null),
+k as (select f.host, ts, coalesce(ms, 1000) as ms, row_number() over (partition by f.host order by ts) as k from f left join h on h.host = f.host where f.host <> ''),
+g as (select host, ts, k * ms + max(ts - k * ms) over (partition by host order by k rows unbounded preceding) as granted from k)
+select host, count(*) as requests, sum((granted > ts)::bigint)::bigint as waited, max(granted)::bigint as last from g group by 1""")
 def host_throttle(spark: SparkSession, d: str) -> DataFrame:
+    """When the delays of hosts let the requests of the frontier through; what waits is let through later."""
     from weftline.streaming.incremental import throttle
 
-    f = stream_table(spark, d, "frontier").select(U.url_host(F.col("url")).alias("host"), F.col("queued_at").alias("ts"), F.lit(1.0).alias("delay")).where("host <> '' and ts is not null")
-    return throttle(f, scratch(spark, "throttle"))
+    delays = _t(spark, d, "hosts").select(F.lower("host").alias("host"), F.col("crawl_delay").alias("delay"))
+    f = stream_table(spark, d, "frontier").select(U.url_host(F.col("url")).alias("host"), F.col("queued_at").alias("ts")).where("host <> '' and ts is not null")
+    return throttle(f.join(delays, "host", "left"), scratch(spark, "throttle"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

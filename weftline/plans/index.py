@@ -11,13 +11,29 @@ from weftline.operators.salted import heavy_keys
 from weftline.session import cut
 
 MAX_URLS, MAX_SHARE, MIN_COUNT, TERMS_PER_PAGE = 100, 0.15, 2, 60
+PARTS = ("index", "weights")
 
 
-def latest_pages(crawl: DataFrame) -> DataFrame:
-    """(url, page, content_type): of each url the page that was stored last; fetches without a page do not count."""
+def latest(crawl: DataFrame, url: Column | None = None, **columns: Column) -> DataFrame:
+    """(url, the given columns): of each url what they give for the page that was stored last; fetches without a page do
+    not count. The columns are computed where the pages lie, for repeated fetches in vain, and only they are shuffled
+    to find the latest: the pages themselves never are."""
     w = Window.partitionBy("url").orderBy(F.col("stored_at").desc_nulls_last(), F.col("crawl_id").desc())
-    pages = crawl.where(F.col("page").isNotNull() & F.col("url").isNotNull()).select("url", "page", "content_type", F.row_number().over(w).alias("_r"))
-    return pages.where(F.col("_r") == 1).drop("_r")
+    key = F.col("url") if url is None else url
+    seen = crawl.where(F.col("page").isNotNull()).select(key.alias("url"), "stored_at", "crawl_id", *[c.alias(n) for n, c in columns.items()])
+    return seen.where(F.col("url").isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("url", *columns)
+
+
+def cached_pages(crawl: DataFrame, urls: DataFrame) -> DataFrame:
+    """(url, html): the stored page of each of ``urls`` (url) that has one, whole and decoded. Rows of other urls are left
+    out before anything is decoded; few urls are sent to the scan by Spark itself."""
+    asked = crawl.join(urls.select("url").where(F.col("url").isNotNull()).distinct(), "url", "left_semi")
+    return latest(asked, html=H.page_text(F.col("page"), F.col("content_type"), None))
+
+
+def cached_page(crawl: DataFrame, url: str) -> DataFrame:
+    """(url, html) of one url, no row if it has no page; the comparison reaches the scan."""
+    return latest(crawl.where(F.col("url") == url), html=H.page_text(F.col("page"), F.col("content_type"), None))
 
 
 def document_frequency_cap(pages: Column) -> Column:
@@ -26,11 +42,6 @@ def document_frequency_cap(pages: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(MAX_URLS), F.when(share == 0, F.lit(MAX_URLS)).otherwise(share))).cast("bigint")
 
 
-def term_counts(docs: DataFrame, text: Column) -> DataFrame:
-    """(url, word, tf). A page's words are counted where the page lies, then summed by page and word."""
-    return docs.select("url", F.explode(document_terms(text)).alias("word")).groupBy("url", "word").agg(F.count("*").alias("tf"))
-
-
 def inverted_index(counts: DataFrame, total_pages: DataFrame) -> DataFrame:
     """(word, url, tf) of the words that occur at least twice on the page, for each word the first urls up to the cap.
 
@@ -65,25 +76,43 @@ def tfidf(counts: DataFrame, vocab: DataFrame, total_pages: DataFrame) -> DataFr
     return sized.select("word", "url", tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("tfidf")).where(F.col("idf") > 0)
 
 
-def page_counts(crawl: DataFrame, limit: int | None = H.PAGE_BYTES) -> DataFrame:
-    """(url, part, word, tf): the words of each url's latest page, "index" and "weights" parts with their own body text
-    and least length. Pages are shuffled once, by url, to find the latest; both parts are read from them in the same
-    pass and counted where they are, without another shuffle. Written, because three later steps read it."""
-    pages = latest_pages(crawl)
-    text, size = H.page_text(F.col("page"), limit=limit), F.octet_length("page")
+def page_counts(crawl: DataFrame, limit: int | None = H.PAGE_BYTES, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """(url, part, word, tf): the words of each url's latest page for each wanted part, with its own body text and least
+    length, and a row of the part "page" for every page. Words are taken from the pages where they lie and shuffled
+    once, by url, to find the latest; they are counted there without another shuffle. Written, because later steps
+    read it several times."""
+    text, size = H.page_text(F.col("page"), F.col("content_type"), limit), F.octet_length("page")
     none = F.array().cast("array<string>")
-    of_index = F.when((size >= H.LEAST_BYTES["index"]) & F.col("url").rlike("^(?i)https?://"), document_terms(H.body_for_index(text))).otherwise(none)
-    of_weights = F.when(size >= H.LEAST_BYTES["tfidf"], document_terms(H.body_for_tfidf(text))).otherwise(none)
-    both = pages.select("url", F.map_from_arrays(F.array(F.lit("index"), F.lit("weights")), F.array(of_index, of_weights)).alias("m"))
-    words = both.select("url", F.explode("m").alias("part", "words")).select("url", "part", F.explode("words").alias("word"))
+    of = {
+        "index": F.when((size >= H.LEAST_BYTES["index"]) & F.col("url").rlike("^(?i)https?://"), document_terms(H.body_for_index(text))).otherwise(none),
+        "weights": F.when(size >= H.LEAST_BYTES["tfidf"], document_terms(H.body_for_tfidf(text))).otherwise(none),
+    }
+    names = [F.lit(p) for p in (*parts, "page")]
+    pages = latest(crawl, m=F.map_from_arrays(F.array(*names), F.array(*[of[p] for p in parts], F.array(F.lit("")))))
+    words = pages.select("url", F.explode("m").alias("part", "words")).select("url", "part", F.explode("words").alias("word"))
     return cut(words.groupBy("url", "part", "word").agg(F.count("*").alias("tf")), "counts")
 
 
+def _part(counts: DataFrame, name: str) -> DataFrame:
+    return counts.where(F.col("part") == name).select("url", "word", "tf")
+
+
+def page_total(counts: DataFrame) -> DataFrame:
+    return counts.where("part = 'page'").agg(F.count("*").alias("pages"))
+
+
+def build_index(crawl: DataFrame, limit: int | None = H.PAGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(index, vocabulary) of a crawl: only what they need is taken from the pages."""
+    counts = page_counts(crawl, limit, ("index",))
+    index = inverted_index(_part(counts, "index"), page_total(counts))
+    return index, vocabulary(index)
+
+
 def build(crawl: DataFrame, limit: int | None = H.PAGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index, vocabulary, weights) of a crawl. The words of the pages are counted and written now, the rest is lazy.
     ``limit`` bytes of a page are read, all if None."""
     counts = page_counts(crawl, limit)
-    total = crawl.where(F.col("page").isNotNull()).agg(F.count_distinct("url").alias("pages"))
-    index = inverted_index(counts.where("part = 'index'").select("url", "word", "tf"), total)
+    total = page_total(counts)
+    index = inverted_index(_part(counts, "index"), total)
     vocab = vocabulary(index)
-    return index, vocab, tfidf(counts.where("part = 'weights'").select("url", "word", "tf"), vocab, total)
+    return index, vocab, tfidf(_part(counts, "weights"), vocab, total)

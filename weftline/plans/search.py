@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.stopwords import STOP_WORDS
 
 PAGE_SIZE, SUGGESTIONS, MAX_DISTANCE = 10, 8, 2
+#: So many tokens at most are sent to all tasks when words are looked for.
+FEW_TOKENS = 1000
 
 
 def words_of_query(query: str) -> list[str]:
@@ -94,16 +96,46 @@ def complete(words: DataFrame, prefix: str, n: int = SUGGESTIONS) -> DataFrame:
     return words.where(F.col("word").startswith(p) if p else F.lit(False)).orderBy("word").limit(n)
 
 
-def spell(words: DataFrame, tokens: DataFrame) -> DataFrame:
+def spell(words: DataFrame, tokens: DataFrame, few: int = FEW_TOKENS) -> DataFrame:
     """(token, suggestion): the token itself if it is a word, else the word of the least (distance, word) within two
-    edits, else the token. Tokens are a query's words, few; words are pruned by length before the distance, which
-    stops at its bound; each task keeps its best word for each token (a partial minimum)."""
-    t = F.broadcast(tokens.select("token").distinct())  # the words of one query
-    near = words.join(t, (F.length("word") >= F.length("token") - MAX_DISTANCE) & (F.length("word") <= F.length("token") + MAX_DISTANCE))
+    edits, else the token. Each task keeps its best word for each token (a partial minimum).
+
+    Up to ``few`` tokens, which are counted first, are sent to the dictionary's parts; its words are pruned by length
+    before the distance, which stops at its bound. More tokens meet words by what is left of both when up to two
+    letters are deleted, which two words within two edits always have in common: an equality join of any size."""
+    t = tokens.select("token").where(F.col("token").isNotNull()).distinct()
+    if t.limit(few + 1).count() <= few:
+        near = words.join(F.broadcast(t), (F.length("word") >= F.length("token") - MAX_DISTANCE) & (F.length("word") <= F.length("token") + MAX_DISTANCE))
+    else:
+        left = t.select("token", F.explode(deletions(F.col("token"))).alias("_rest"))
+        near = left.join(words.select("word", F.explode(deletions(F.col("word"))).alias("_rest")), "_rest")
     near = near.withColumn("_d", F.levenshtein("word", "token", MAX_DISTANCE)).where(F.col("_d") >= 0)
     best = near.groupBy("token").agg(F.min(F.struct("_d", "word")).alias("b"))
     return tokens.join(best, "token", "left").select("token", F.coalesce("b.word", "token").alias("suggestion"))
 
 
-def tokens_of(spark: SparkSession, query: str) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in words_of_query(query)], "token string")
+def deletions(word: Column, most: int = MAX_DISTANCE) -> Column:
+    """The different texts that are left of a word when at most ``most`` of its characters are deleted."""
+    out = F.array(word)
+    for _ in range(most):
+        less = F.flatten(F.transform(out, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))))
+        out = F.array_union(out, less)
+    return out
+
+
+def term_parts(tfidf: DataFrame, results: DataFrame, query: str, most: int = 5) -> DataFrame:
+    """(url, pos, word, tf, idf, tfidf): for each result the words of the query that have a weight there, in the order of
+    the query, ``most`` at most."""
+    words = list(dict.fromkeys(words_of_query(query)))
+    place = F.array_position(F.array(*map(F.lit, words)), F.col("word")) if words else F.lit(None)
+    rows = tfidf.where(F.col("word").isin(*words) & (F.col("tfidf") > 0)).join(results.select("url"), "url", "left_semi")
+    w = Window.partitionBy("url").orderBy("_p")
+    ranked = rows.withColumn("_p", place).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most)
+    return ranked.select("url", "pos", "word", "tf", "idf", "tfidf")
+
+
+def store_index(postings: DataFrame, path: str, word: Column) -> None:
+    """Writes postings (word, url, tf) with words in normal spelling, in ranges of words and sorted by them: a word filter
+    then reads the row groups of its words only."""
+    normal = postings.select(word.alias("word"), "url", "tf").where(F.col("word").isNotNull())
+    normal.repartitionByRange("word", "url").sortWithinPartitions("word", "url").write.parquet(path)

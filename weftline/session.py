@@ -50,12 +50,32 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     of executors, is columnar, so that later steps read only the columns they need, and is as small as Parquet."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def remove(df: DataFrame | None) -> None:
+    """Deletes the table behind a result of ``cut``, once all that reads it has been written; others are left alone."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def scan_parts(df: DataFrame) -> int | None:
+    """How many parts a plan of nothing but filters and projections over one scan of files has; null for any other plan.
+    The scan is asked for its splits: nothing runs."""
+    node = df._jdf.queryExecution().sparkPlan()
+    while node.getClass().getSimpleName() in ("FilterExec", "ProjectExec"):
+        node = node.child()
+    return node.inputRDD().getNumPartitions() if node.getClass().getSimpleName() == "FileSourceScanExec" else None
 
 
 def spread(df: DataFrame, by: str) -> DataFrame:
-    """``df`` in as many parts as tasks can run at once, where it has fewer, by the hash of a column: for maps that cost
-    far more than a shuffle of their rows, over a table of few files. Tables of many parts stay as they are."""
+    """``df`` in as many parts as tasks can run at once, where a scan of few files has fewer, by the hash of a column: for
+    maps that cost far more than a shuffle of their rows. Scans of many parts, and plans that shuffle anyway, stay as
+    they are."""
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if parts >= tasks else df.repartition(tasks, by)
+    parts = scan_parts(df)
+    return df if parts is None or parts >= tasks else df.repartition(tasks, by)

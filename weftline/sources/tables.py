@@ -28,3 +28,10 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 8
     if is_folder(spark, path):
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def table_names(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The tables that lie in a folder, by listing it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(p)
+    return sorted(f.getPath().getName()[: -len(".parquet")] for f in found if f.getPath().getName().endswith(".parquet"))
