@@ -22,7 +22,10 @@ _CODE = re.compile("\ue000[^\ue001]*\ue001")
 _CUT = re.compile(r"<[/a-zA-Z][^<>]*\Z")  # a tag that the page's end cuts off
 # Text, then a tag: end mark, name, attributes. A "<" that begins no tag is text.
 _TOKEN = re.compile(r"([^<]*(?:<(?![/a-zA-Z])[^<]*)*)(?:<(/?)([a-zA-Z][\w:.-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|(<)|\Z)")
-_HTML = re.compile(r"<(?:!doctype\s+html|html|body|head|div|p|table|h1)\b", re.I)
+_DOCUMENT = re.compile(r"<(?:!doctype\s+html|html|body|head)\b", re.I)
+_PART = re.compile(r"<(?:div|p|table|h1)\b", re.I)
+# Code in plain text: what stands there is shown and no markup of the page.
+_SHOWN = re.compile(r"^(```|~~~).*?^\1[^\n]*$|`[^`\n]+`|<(?:source|syntaxhighlight)\b[^>]*>.*?</(?:source|syntaxhighlight)>|\\begin\{(verbatim|lstlisting)\}.*?\\end\{\2\}|^(?: {4}|\t)[^\n]*$", re.S | re.M)
 # What may stand before the first tag of a page and shows nothing.
 _LEAD = re.compile(r"(?:\s+|\ufeff|<!--.*?-->|<\?[^>]*>|<(script|style|title)\b[^>]*>.*?</\1\s*>|<(?:meta|link|base)\b[^>]*>)*+", re.S | re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
@@ -46,12 +49,16 @@ def decode(page: bytes | None, content_type: str | None) -> str:
 
 
 def has_html(text: str) -> bool:
-    """Whether a page is HTML at all, and not plain text that may hold a tag or two as content. White
-    space, comments and what else of a head shows nothing may be of any length before its first tag; of text that shows
-    there may be 1,024 characters."""
+    """Whether a page is HTML at all, and not plain text that may hold a tag or two as content: it begins, but for what
+    shows nothing, with a tag of a document or a block that is closed somewhere; or a tag of a document stands anywhere
+    in it, outside what plain text would show as code. White space, comments, styles and what else shows nothing may be
+    of any length, and the whole page is looked at."""
     at = _LEAD.match(text).end()
-    m = _HTML.search(text, at, at + 1024)
-    return m is not None and (m.group(0).lower().startswith(("<!doctype", "<html", "<body", "<head")) or text[at : m.start()].strip() == "" and "</" in text)
+    if _DOCUMENT.match(text, at):
+        return True
+    if _DOCUMENT.search(text, at):
+        return _DOCUMENT.search(_SHOWN.sub(" ", text[at:])) is not None
+    return _PART.match(text, at) is not None and "</" in text
 
 
 def sentence_ends(text: str) -> int:
@@ -68,12 +75,12 @@ def sentence_ends(text: str) -> int:
 class Block:
     """A leaf block: text between two block tags, the elements around it (outermost first), how many characters are
     inside links and inside code, whether a form control stands in the same element; ``plain`` is the text without its
-    code elements, null if it has none."""
+    code elements, null if it has none; ``lines`` is the text as written, with its lines, inside pre."""
 
-    __slots__ = ("text", "path", "links", "code", "control", "plain")
+    __slots__ = ("text", "path", "links", "code", "control", "plain", "lines")
 
-    def __init__(self, text: str, path: tuple, links: int, code: int, control: bool, plain: str | None):
-        self.text, self.path, self.links, self.code, self.control, self.plain = text, path, links, code, control, plain
+    def __init__(self, text: str, path: tuple, links: int, code: int, control: bool, plain: str | None, lines: str | None = None):
+        self.text, self.path, self.links, self.code, self.control, self.plain, self.lines = text, path, links, code, control, plain, lines
 
     @property
     def tag(self) -> str:
@@ -146,9 +153,10 @@ def blocks(html: str, nodes: list[Node] | None = None) -> list[Block]:
                 text = text.replace("\ue000", "").replace("\ue001", "")
             if "&" in text:
                 text = unescape(text)
+            lines = text.strip("\r\n") if "\n" in text and any(n.tag == "pre" for n in stack) else None
             text = " ".join(text.split())
             if text:
-                out.append(Block(text, tuple(stack), links, code, control, plain))
+                out.append(Block(text, tuple(stack), links, code, control, plain, lines))
                 if hashing and stack:
                     stack[-1].parts.append(text)
                 control = False

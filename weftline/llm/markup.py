@@ -8,20 +8,16 @@ from collections.abc import Iterator
 from html import unescape
 from html.entities import html5
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.url import url_host
-from weftline.llm.boilerplate import features, model
 from weftline.llm.dom import Block, Node, blocks, decode, has_html
 from weftline.session import cut, spread
 
 #: A subtree is template if it occurs on this many different pages of a host and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 4, 0.2
-#: Up to so many template subtrees are sent to every task (8 bytes each); beyond, they reach their pages by joins.
-SENT_AT_MOST = 1_000_000
+LEAST_PAGES, LEAST_SHARE = 3, 0.1
 
 KINDS = ("html", "markdown", "wiki", "latex")
 _TAGS = "a abbr address article aside b blockquote body br button caption center cite code dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav ol option p pre q s script section select small span strong style sub summary sup table tbody td textarea tfoot th thead title tr tt u ul video".replace(" ", "|")
@@ -34,15 +30,15 @@ PATTERNS = {
         r"<!--.*?-->",
     ],
     "markdown": [
-        r"(?<![\w*])\*\*(?=[^\s*])[^*\n]{1,400}?(?<=[^\s*])\*\*(?![\w*])",
-        r"(?<![\w*\\])\*(?=[^\s*])[^*\n]{1,200}?(?<=[^\s*])\*(?![\w*])",
-        r"(?<![\w_])__(?=[^\s_])[^_\n]{1,400}?(?<=[^\s_])__(?![\w_])",
-        r"(?<![\w_])_(?=[^\s_])[^_\n]{1,200}?(?<=[^\s_])_(?![\w_])",
-        r"(?<![\w~])~~(?=[^\s~])[^~\n]{1,400}?(?<=[^\s~])~~(?![\w~])",
+        r"(?<![\w*])\*\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*\*(?![\w*])",
+        r"(?<![\w*\\])\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*(?![\w*])",
+        r"(?<![\w_])__(?=[^\s_])[^_\n]+(?<=[^\s_])__(?![\w_])",
+        r"(?<![\w_])_(?=[^\s_])[^_\n]+(?<=[^\s_])_(?![\w_])",
+        r"(?<![\w~])~~(?=[^\s~])[^~\n]+(?<=[^\s~])~~(?![\w~])",
         r"(?:^|(?<=\s))#{1,6}\s+(?=[^\W\d_])",
-        r"```|(?<![`\w])`[^`\n]{1,200}`(?![`\w])",
-        r"!?\[[^\[\]\n]{1,400}\]\((?:[^()\s]{1,400}|<[^>\n]{1,400}>)(?:\s+\"[^\"\n]*\")?\)",
-        r"\[[^\[\]\n]{1,200}\]\[[^\[\]\n]{0,60}\]|(?:^|(?<=\s))\[[^\[\]\n]{1,60}\]:\s+(?:/|https?:)\S+",
+        r"```|(?<![`\w])`[^`\n]+`(?![`\w])",
+        r"!?\[[^\[\]\n]+\]\((?:[^()\s]+|<[^>\n]+>)(?:\s+\"[^\"\n]*\")?\)",
+        r"\[[^\[\]\n]+\]\[[^\[\]\n]*\]|(?:^|(?<=\s))\[[^\[\]\n]+\]:\s+(?:/|https?:)\S+",
         r"\|\s*:?-{3,}:?\s*\|",
         r"(?<=\S )={4,}(?=\s|$)|^={4,}$|^-{4,}$",
         r"(?:^|(?<=\s))- \[[ xX]\] ",
@@ -50,18 +46,18 @@ PATTERNS = {
         _BULLET + r"[^\n]*?" + _BULLET,  # two list items at least, run together
     ],
     "wiki": [
-        r"\[\[(?=[^\W\d]|:)[^\[\]\n]{1,400}?(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]",
-        r"\{\{(?=[^\W\d])[^{}]{1,2000}\}\}",
+        r"\[\[(?=[^\W\d]|:)[^\[\]\n]+(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]",
+        r"\{\{(?=[^\W\d])[^{}]+\}\}",
         r"\{\|\s|(?<=\s)\|-(?=\s)|(?<=\s)\|\}",
-        r"(?:^|(?<=\s))(={2,6}) (?=[^=\s])[^=\n]{1,300}? \1(?=\s|$)|^(={2,6})(?=[^=\s])[^=\n]{1,300}?\2$",
-        r"(?<!')'{2,3}(?=[^'\s])[^'\n]{1,300}(?:'[^'\n]{1,300})*?'{2,3}(?!')",
-        r"\[https?://\S+ [^\]\n]{1,200}\]",
+        r"(?:^|(?<=\s))(={2,6}) (?=[^=\s])[^=\n]+ \1(?=\s|$)|^(={2,6})(?=[^=\s])[^=\n]+\2$",
+        r"(?<!')'{2,3}(?=[^'\s])[^'\n]+(?:'[^'\n]+)*?'{2,3}(?!')",
+        r"\[https?://\S+ [^\]\n]+\]",
         r"</?(?:ref|nowiki|gallery|references)\b[^>]*>",
     ],
     "latex": [
         r"(?<![\w:\\])\\[a-zA-Z]{2,30}\*?(?:\[[^\]\n]*\])?\{|(?<=[\s.,;:()~])\\[a-zA-Z]{2,30}\{|(?<=[\w.~])~?\\(?:ref|cite|footnote|label|emph|textbf|textit|eqref)\{",
         r"\\\[(?=.*\\\])|\\\((?=.*\\\))",
-        r"(?<![\w$\\])\$\$?(?=[^$\s])(?=[^$]*(?:\\[a-zA-Z]|[_^]\{?\w|[=<>+]))[^$\n]{1,400}?(?<=[^$\s])\$\$?(?![\w$])",
+        r"(?<![\w$\\])\$\$?(?=[^$\s])(?=[^$]*(?:\\[a-zA-Z]|[_^]\{?\w|[=<>+]))[^$\n]+(?<=[^$\s])\$\$?(?![\w$])",
         rf"(?<![\w:\\])\\(?:{_GREEK})\b",
     ],
 }
@@ -107,137 +103,112 @@ def kind_of_plain(text: str) -> str | None:
     return best if score[best] else None
 
 
-def without_templates(page: list[Block], nodes: list[Node], templates) -> list[bool]:
-    """Which blocks stay when every subtree whose hash is among the templates is deleted."""
-    keep = [True] * len(page)
-    for n in nodes:
-        if n.hash in templates:
-            for i in range(n.first, n.end):
-                keep[i] = False
-    return keep
+def site_key(host: int, subtree: int) -> int:
+    """One number for a subtree on a host."""
+    return (host * 0x9E3779B97F4A7C15 + subtree) % (1 << 64) - (1 << 63)
 
 
-def site_key(host: str, subtree: int) -> int:
-    """One number for a subtree on a host."""
-    import xxhash
+def shown_text(b: Block) -> str:
+    """The text of a block in which markup is visible: without its code elements."""
+    return b.text if b.plain is None else b.plain
 
-    return xxhash.xxh3_64_intdigest(f"{host}\x00{subtree:x}") - (1 << 63)
 
+def _holders(page: list[Block], nodes: list[Node], keys: list[int]) -> list[list[int]]:
+    """For each block the keys of the subtrees it lies in."""
+    out: list[list[int]] = [[] for _ in page]
+    for n, k in zip(nodes, keys):
+        for i in range(n.first, n.end):
+            out[i].append(k)
+    return out
 
-def subtree_counts(pages: DataFrame) -> DataFrame:
-    """(key): the template subtrees, a number for host and subtree each.
 
-    Each different page of a host counts once, however often it was fetched: pages are first reduced to their hosts,
-    contents' hashes and subtree hashes. The counts of subtrees per host have map-side partial sums, which a host
-    with a third of all pages needs most."""
+def parse_pages(pages: DataFrame, id_col: str = "crawl_id", clean: bool = False) -> DataFrame:
+    """What each page holds, read and parsed once: (id, host, pid, keys, items), where ``host`` and ``pid`` are the hashes of
+    host and page, ``keys`` those of all its subtrees on that host, and each item has the ``keys`` of the subtrees it
+    lies in. Items are (markup) of blocks in which markup shows, or with ``clean`` (text, row) of all blocks, in order;
+    cells of a table row have the same ``row``. A page without HTML has no subtrees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
-            for host, page, ct in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            all_keys, all_items = [], []
+            for host, page, ct in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 text = decode(page, ct)
-                nodes: list[Node] = []
-                if text and has_html(text):
-                    blocks(text, nodes)
-                keys.append(sorted({site_key(host, n.hash) for n in nodes if n.end > n.first}))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], ["host", "pid", "keys"])
+                keys: list[int] = []
+                items: list[dict] | None = []
+                if not text.strip():
+                    items = None if clean else []
+                elif not has_html(text):
+                    if clean:
+                        items = [{"text": clean_plain(text), "row": -1, "keys": []}]
+                    elif k := kind_of_plain(text):
+                        items = [{"markup": k, "keys": []}]
+                else:
+                    nodes: list[Node] = []
+                    parsed = blocks(text, nodes)
+                    nodes = [n for n in nodes if n.end > n.first]
+                    keys = [site_key(host, n.hash) for n in nodes]
+                    if clean:
+                        items = [{"text": t, "row": r, "keys": h} for t, r, h in zip(*clean_blocks(parsed), _holders(parsed, nodes, keys)) if t.strip()]
+                    else:
+                        found = [(i, k) for i, x in enumerate(parsed) if not x.in_code for k in KINDS if hits(shown_text(x), k)]
+                        if found:
+                            held = _holders(parsed, nodes, keys)
+                            items = [{"markup": k, "keys": held[i]} for i, k in found]
+                all_keys.append(sorted(set(keys)))
+                all_items.append(items)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(all_keys, pa.list_(pa.int64())), pa.array(all_items, kind)], [id_col, "host", "pid", "keys", "items"])
+
+    within = [("text", pa.string()), ("row", pa.int32())] if clean else [("markup", pa.string())]
+    kind = pa.list_(pa.struct([*within, ("keys", pa.list_(pa.int64()))]))
+    item = "struct<text:string,row:int,keys:array<bigint>>" if clean else "struct<markup:string,keys:array<bigint>>"
+    spec = f"{id_col} {pages.schema[id_col].dataType.simpleString()}"
+    source = pages if clean else pages.where(F.col("page").isNotNull())
+    each = source.select(id_col, F.xxhash64(F.coalesce(url_host(F.col("url")), F.lit(""))).alias("host"), F.xxhash64("page").alias("pid"), "page", "content_type")
+    return spread(each, id_col).mapInArrow(run, f"{spec}, host bigint, pid bigint, keys array<bigint>, items array<{item}>")
 
-    each = pages.where(F.col("page").isNotNull()).select(F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"), F.xxhash64("page").alias("pid"), "page", "content_type")
-    distinct = spread(each, "pid").mapInArrow(run, "host string, pid bigint, keys array<bigint>").groupBy("host", "pid").agg(F.any_value("keys").alias("keys"))
-    return distinct
 
+def host_templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(host, gone): the keys of the template subtrees of each host: those on many of its different pages.
 
-def template_keys(distinct: DataFrame) -> DataFrame:
-    """(key) of the subtrees that occur on many pages of their host."""
+    Each different page of a host counts once, however often it was fetched. Counts per subtree have map-side partial
+    sums, which a host with a third of all pages needs most. A page has at most a few hundred subtrees and a template
+    is on a share of all pages, so the templates of a host are bounded, whatever its number of pages."""
+    distinct = parsed.where(F.size("keys") > 0).groupBy("host", "pid").agg(F.any_value("keys").alias("keys"))
     pages = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = distinct.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    return counts.join(pages, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("key")
-
-
-class _Held:
-    """The templates that were sent, asked by subtree hash for one host."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys, self.host = set(keys.tolist()), ""
-
-    def __contains__(self, subtree: int) -> bool:
-        return site_key(self.host, subtree) in self.keys
-
-
-def shown_text(b: Block) -> str:
-    """The text of a block in which markup is visible: without its code elements."""
-    return b.text if b.plain is None else b.plain
-
-
-def own_blocks(text: str, templates, marked: bool = False) -> list[Block]:
-    """The blocks of a page that are left without templates and belong to the main content; ``templates`` answers
-    whether a subtree hash is template. With ``marked``, none if no block of the page shows markup."""
-    nodes: list[Node] = []
-    page = blocks(text, nodes)
-    if marked and not any(hits(shown_text(b), k) for b in page if not b.in_code for k in KINDS):
-        return []
-    keep = without_templates(page, nodes, templates)
-    if not any(keep):
-        return []
-    main = model().decode(features(page))
-    return [b for b, k, m in zip(page, keep, main) if k and m]
+    counts = distinct.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    return counts.join(pages, "host").where(F.col("n") >= least_share * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("gone"))
 
 
-def find_markup(pages: DataFrame, id_col: str = "crawl_id", sent_at_most: int = SENT_AT_MOST, clean: bool = False) -> DataFrame:
+def find_markup(pages: DataFrame, id_col: str = "crawl_id", clean: bool = False, templates: bool = True) -> DataFrame:
     """(id, markup) for each page and each kind of which markup shows; with ``clean``, (id, text) of every page instead.
 
-    A page without HTML counts with the kind it is written in. Null, empty and blank pages give no rows (a null text
-    with ``clean``); pages with a null url count as one host; a page several times gives its rows each time; other
-    columns are ignored.
-
-    Templates come from all pages of all hosts. If there are at most ``sent_at_most`` they are sent to all tasks and
-    the pages are read where they lie; beyond that each page gets its own templates by joins on subtree and page."""
-    spark = pages.sparkSession
-    spec = f"{id_col} {pages.schema[id_col].dataType.simpleString()}"
-    distinct = cut(subtree_counts(pages))
-    keys = cut(template_keys(distinct))
-    source = pages.select(id_col, F.coalesce(url_host(F.col("url")), F.lit("")).alias("_host"), "page", "content_type")
-    if keys.count() <= sent_at_most:
-        held = spark.sparkContext.broadcast(np.array([r[0] for r in keys.collect()], np.int64))  # checked above
-        source = source.select("*", F.lit(None).cast("array<bigint>").alias("_keys"))
+    Main content is what no template subtree of the page's host holds: nothing else decides it. Hosts of fewer than
+    ``LEAST_PAGES`` different pages have no templates and keep everything. A page without HTML counts with the kind it
+    is written in. Null, empty and blank pages give no rows (a null text with ``clean``); pages with a null url count as
+    one host; a page several times gives its rows each time; other columns are ignored. Without ``templates`` nothing
+    is removed.
+
+    Pages are read and parsed once; what was found, with the subtrees it lies in, is written. Templates are counted from
+    that table and joined with it by host, which is the only join: Spark sends the hosts' templates to all tasks where
+    they are few and shuffles, splitting busy hosts, where they are not."""
+    parsed = cut(parse_pages(pages, id_col, clean), "parsed")
+    if templates:
+        gone = cut(host_templates(parsed), "templates")
+        parsed = parsed.select(id_col, "host", "items").join(gone, "host", "left")
     else:
-        held = None
-        own = distinct.select("host", "pid", F.explode("keys").alias("key")).join(keys, "key").groupBy("host", "pid").agg(F.collect_list("key").alias("_keys"))
-        own = own.select(F.col("host").alias("_h"), F.col("pid").alias("_p"), "_keys")
-        source = source.join(own, (F.col("_host") == F.col("_h")) & (F.xxhash64("page") == F.col("_p")), "left").drop("_h", "_p")
+        parsed = parsed.withColumn("gone", F.lit(None).cast("array<bigint>"))
+    left = F.filter("items", lambda x: F.col("gone").isNull() | ~F.arrays_overlap(x["keys"], F.col("gone")))
+    if not clean:
+        return parsed.where(F.size("items") > 0).select(id_col, F.explode(F.array_distinct(F.transform(left, lambda x: x["markup"]))).alias("markup"))
+    before = lambda i: F.element_at(F.col("_left"), i)["row"]
+    joint = lambda x, i: F.when(i == 0, F.lit("")).when((x["row"] >= 0) & (before(F.greatest(i, F.lit(1))) == x["row"]), F.lit(" | ")).otherwise(F.lit("\n\n"))
+    return parsed.select(id_col, left.alias("_left")).select(id_col, F.when(F.col("_left").isNotNull(), F.array_join(F.transform("_left", lambda x, i: F.concat(joint(x, i), x["text"])), "")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = _Held(held.value) if held is not None else None
-        for b in batches:
-            ids, found = [], []
-            for i, host, page, ct, own_keys in zip(*(c.to_pylist() for c in b.columns)):
-                text = decode(page, ct)
-                html = bool(text) and has_html(text)
-                if sent is not None:
-                    here = sent
-                else:
-                    here = _Held(np.array(own_keys or [], np.int64))
-                here.host = host
-                if clean:
-                    ids.append(i)
-                    found.append(None if not text.strip() else clean_page(own_blocks(text, here)) if html else clean_plain(text))
-                elif not html:
-                    if text.strip() and (k := kind_of_plain(text)):
-                        ids.append(i)
-                        found.append(k)
-                else:
-                    shown = [shown_text(x) for x in own_blocks(text, here, marked=True) if not x.in_code]
-                    for k in kinds_of(shown):
-                        ids.append(i)
-                        found.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(found, pa.string())], [id_col, "text" if clean else "markup"])
 
-    if not clean:
-        source = source.where(F.col("page").isNotNull())
-    return spread(source, id_col).mapInArrow(run, f"{spec}, {'text' if clean else 'markup'} string")
+_FORMULA = re.compile(r"\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<![\w$\\])\$\$?(?=[^$\s])([^$\n]+)(?<=[^$\s])\$\$?(?![\w$])", re.S)
 
 
-_FORMULA = re.compile(r"\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<![\w$\\])\$\$?(?=[^$\s])([^$\n]{1,400}?)(?<=[^$\s])\$\$?(?![\w$])", re.S)
+_COMMAND = re.compile(r"(?<![:\w])\\[a-zA-Z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}|(?<=[\w.])\\(?:footnote|emph|textbf|textit)\{([^{}]*)\}")
 
 
 def clean_text(text: str) -> str:
@@ -266,20 +237,20 @@ def clean_text(text: str) -> str:
     t = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\W\d][^\[\]|\n]*)\]\]", r"\1", t)
     t = re.sub(r"\{\{(?=[^\W\d])[^{}]*\}\}", "", t)
     t = re.sub(r"</?(?:ref|nowiki)\b[^>]*>", "", t)
-    t = re.sub(r"(?m)(?:^|(?<=\s))(={2,6}) ?([^=\n]{1,300}?) ?\1(?=\s|$)", lambda m: f"\n{'#' * len(m.group(1))} {m.group(2)}\n", t)
+    t = re.sub(r"(?m)(?:^|(?<=\s))(={2,6}) ?([^=\n]+?) ?\1(?=\s|$)", lambda m: f"\n{'#' * len(m.group(1))} {m.group(2)}\n", t)
     t = re.sub(r"(?<!')'{2,3}([^'\n]+(?:'[^'\n]+)*?)'{2,3}(?!')", r"\1", t)
     t = re.sub(r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)", r"\1", t)
     t = re.sub(r"\[([^\[\]\n]+)\]\[[^\[\]\n]*\]", r"\1", t)
-    t = re.sub(r"(?:^|(?<=\s))\[[^\[\]\n]{1,60}\]:\s+(?:/|https?:)\S+", "", t)
+    t = re.sub(r"(?:^|(?<=\s))\[[^\[\]\n]+\]:\s+(?:/|https?:)\S+", "", t)
     for mark in (r"\*\*", "__", "~~", r"\*", "_"):
-        t = re.sub(rf"(?<![\w*_~\\]){mark}(?=[^\s*_~])([^\n*~]{{1,400}}?)(?<=[^\s*~]){mark}(?![\w*~])", r"\1", t)
+        t = re.sub(rf"(?<![\w*_~\\]){mark}(?=[^\s*_~])([^\n*~]+?)(?<=[^\s*~]){mark}(?![\w*~])", r"\1", t)
     t = re.sub(r"\\(?:section|chapter)\*?\{([^{}]*)\}", r"\n## \1\n", t)
     t = re.sub(r"\\subsection\*?\{([^{}]*)\}", r"\n### \1\n", t)
     t = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", "\n", t)
     t = re.sub(r"\\item\b\s*", "\n- ", t)
     t = re.sub(r"~?\\(?:label|cite|ref|eqref|index)\{[^{}]*\}", "", t)
-    for _ in range(3):
-        t = re.sub(r"(?<![:\w])\\[a-zA-Z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}|(?<=[\w.])\\(?:footnote|emph|textbf|textit)\{([^{}]*)\}", lambda m: f" ({m.group(2)})" if m.group(0).startswith("\\footnote") and m.group(2) else m.group(1) or m.group(2) or "", t)
+    while (inner := _COMMAND.sub(lambda m: f" ({m.group(2)})" if m.group(0).startswith("\\footnote") and m.group(2) else m.group(1) or m.group(2) or "", t)) != t:
+        t = inner  # from the innermost command outwards, however deep
     t = re.sub("\ue010(\\d+)\ue011", lambda m: f"${kept[int(m.group(1))]}$", t)
     return "\n".join(x for x in (" ".join(line.split()) for line in t.split("\n")) if x)
 
@@ -287,33 +258,31 @@ def clean_text(text: str) -> str:
 _clean = clean_text
 
 
-def clean_page(page: list[Block]) -> str:
-    """Main blocks as text: headings with hash marks, list items with dashes, code fenced, table rows on one line."""
+def clean_blocks(page: list[Block]) -> tuple[list[str], list[int]]:
+    """The clean text of each block and the table row it is a cell of, -1 if none: headings with hash marks, list items
+    with dashes, code fenced with its lines, quotes marked."""
     out: list[str] = []
-    row: object = None
+    rows: list[int] = []
+    known: dict[int, int] = {}
     for b in page:
-        tag = b.tag
-        clean_text = _clean if b.plain is None or any(hits(b.plain, k) for k in KINDS) else str  # shown code stays
+        tag, row = b.tag, -1
+        clean = _clean if b.plain is None or any(hits(b.plain, k) for k in KINDS) else str  # shown code stays
         if any(n.tag == "pre" for n in b.path):
-            out.append(f"```\n{b.text}\n```")
+            out.append(f"```\n{b.lines or b.text}\n```")
         elif tag in ("td", "th"):
             tr = next((n for n in reversed(b.path) if n.tag == "tr"), None)
-            if tr is not None and tr is row:
-                out[-1] += f" | {clean_text(b.text)}"
-            else:
-                out.append(clean_text(b.text))
-            row = tr
-            continue
+            row = known.setdefault(id(tr), len(known)) if tr is not None else -1
+            out.append(clean(b.text))
         elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
-            out.append(f"{'#' * int(tag[1])} {clean_text(b.text)}")
+            out.append(f"{'#' * int(tag[1])} {clean(b.text)}")
         elif tag in ("li", "dt", "dd"):
-            out.append(f"- {clean_text(b.text)}")
+            out.append(f"- {clean(b.text)}")
         elif any(n.tag == "blockquote" for n in b.path):
-            out.append(f"> {clean_text(b.text)}")
+            out.append(f"> {clean(b.text)}")
         else:
-            out.append(clean_text(b.text))
-        row = None
-    return "\n\n".join(x for x in out if x.strip())
+            out.append(clean(b.text))
+        rows.append(row)
+    return out, rows
 
 
 def clean_plain(text: str) -> str:
