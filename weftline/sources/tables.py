@@ -21,10 +21,13 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 8) -> DataFrame:
-    """The same table as a file stream; new files of the folder become new micro-batches."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = 8) -> DataFrame:
+    """The same table as a file stream; new files of the folder become new micro-batches, ``max_files`` at a time, or all
+    there are if None."""
     path = table_path(sf_dir, name)
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if is_folder(spark, path):
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
