@@ -92,14 +92,64 @@ def test_seen_before_with_empty_tables(spark, tmp_path):
     assert seen.seen_before(spark, d).count() == 0
 
 
+def _keys(spark, src, out, new, per_batch=None):
+    if new:
+        spark.createDataFrame(new, "key string, place bigint").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("key string, place bigint")
+    stream = stream.option("maxFilesPerTrigger", per_batch) if per_batch else stream
+    return rows(seen.first_or_repeat(stream.parquet(src), out, 3))
+
+
 def test_state_goes_on_where_it_stopped(spark, tmp_path):
     src, out = f"{tmp_path}/in", f"{tmp_path}/out"
-    more = lambda rs: spark.createDataFrame(rs, "k string, o bigint").coalesce(1).write.mode("append").parquet(src)
-    more([("a", 5), ("b", 2)])
-    stream = lambda: spark.readStream.schema("k string, o bigint").parquet(src)
-    assert rows(seen.first_sightings(stream(), "k", "o", out)) == [("a", 5), ("b", 2)]
-    more([("a", 9), ("c", 1), ("b", 1)])
-    assert rows(seen.first_sightings(stream(), "k", "o", out)) == [("a", 5), ("b", 1), ("c", 1)]
+    first = [(2, "b", False), (5, "a", False), (6, "a", True)]
+    assert _keys(spark, src, out, [("a", 5), ("b", 2), ("a", 6), ("v", -1), ("v", -1)]) == first
+    assert _keys(spark, src, out, []) == first
+    more = [(7, "v", True), (8, None, False), (9, "a", True), (10, "c", False), (10, "c", False), (11, "b", True)]
+    assert _keys(spark, src, out, [("a", 9), ("c", 10), ("c", 10), ("b", 11), ("v", 7), (None, 8), (None, -1)]) == sorted(first + more, key=repr)
+    early = _keys(spark, src, out, [("a", 1), ("z", 12)])  # comes late, but nothing has a smaller place
+    assert (1, "a", False) in early and (12, "z", False) in early and len(early) == len(first + more) + 2
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    assert provider is None or "RocksDB" not in provider  # the caller's session is as it was
+
+
+def test_seen_in_several_micro_batches_of_one_run(spark, tmp_path):
+    rnd = random.Random(2)
+    data = [(f"k{rnd.randrange(20)}", i) for i in range(60)]
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for i in range(0, 60, 20):
+        spark.createDataFrame(data[i : i + 20], "key string, place bigint").coalesce(1).write.mode("append").parquet(src)
+    known, want = set(), []
+    for k, i in data:
+        want.append((i, k, k in known))
+        known.add(k)
+    assert _keys(spark, src, out, [], per_batch=1) == sorted(want, key=repr)
+
+
+def test_a_run_that_failed_is_answered_once(spark, tmp_path, monkeypatch):
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    drain, calls = seen._drain, []
+
+    def failing(writer, checkpoint, sink):
+        calls.append(checkpoint)
+        if checkpoint.endswith("/keys"):
+            raise RuntimeError("executor lost")
+        drain(writer, checkpoint, sink)
+
+    monkeypatch.setattr(seen, "_drain", failing)
+    with pytest.raises(RuntimeError):
+        _keys(spark, src, out, [("a", 1), ("b", 2), ("a", 3)])
+    monkeypatch.setattr(seen, "_drain", drain)
+    assert _keys(spark, src, out, [("b", 4)]) == [(1, "a", False), (2, "b", False), (3, "a", True), (4, "b", True)]
+
+
+def test_seen_before_reads_only_new_rows_with_the_same_path(spark, tmp_path):
+    d = _tables(spark, tmp_path, [(1, "http://h/a", 1)], [("http://h/v", None)])
+    state = f"{tmp_path}/state"
+    assert rows(seen.seen_before(spark, d, state)) == [(1, "http://h/a", False)]
+    new = spark.createDataFrame([(2, "http://H/a", 1), (3, "http://h/v#x", 1)], "queue_id bigint, url string, depth int")
+    new.select(*[c for c in spark.read.parquet(f"{d}/frontier.parquet").columns if c in new.columns]).write.mode("append").parquet(f"{d}/frontier.parquet")
+    assert rows(seen.seen_before(spark, d, state)) == [(1, "http://h/a", False), (2, "http://h/a", True), (3, "http://h/v", True)]
 
 
 # ---- 8

@@ -107,6 +107,17 @@ c as (select query_id, t.url, max(t.tfidf) as tfidf, max(m.pagerank) as pagerank
 k as (select *, rank() over (partition by query_id order by pagerank desc nulls last) as rank_pagerank, rank() over (partition by query_id order by tfidf desc nulls last) as rank_tfidf from c)
 """
 
+# Urls of both tables in canonical form, and the smallest place of each; -1 for all of visited.
+_P7 = r"""with r as (select queue_id as place, url from frontier union all select -1, url from visited),
+a as (select place, regexp_replace(regexp_replace(url, '^\s+|\s+$', '', 'g'), '\s*#.*$', '') as u from r),
+b as (select *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) as s, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?]*)', 1)) as h, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*([^?]*)', 1) as p, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://[^?]*(\?.*)$', 1) as q from a where u <> ''),
+c as (select *, case when s = 'http' then regexp_replace(h, ':(80)?$', '') when s = 'https' then regexp_replace(h, ':(443)?$', '') else regexp_replace(h, ':$', '') end as k, string_split(substr(p, 2), '/') as parts from b),
+d as (select *, list_reduce(list_transform(list_filter(parts, lambda x: x <> '.'), lambda x: [x]), lambda acc, x: case when x[1] = '..' then acc[1:len(acc) - 1] else list_concat(acc, x) end, []::varchar[]) as seg from c),
+e as (select place, case when s = '' then u else s || '://' || k || case when p = '' then '/' when not regexp_matches(p, '/\.\.?(/|$)') then p else '/' || array_to_string(seg, '/') || case when parts[-1] in ('.', '..') and len(seg) > 0 then '/' else '' end end || q end as key from d),
+f as (select place, place > min(place) over (partition by key) as seen from e where place >= 0 or place = -1),
+g as (select queue_id, coalesce(seen, false) as seen from frontier left join f on place = queue_id)
+"""
+
 _P6 = f"""
 with o as (select url, {_WORD} as word, max(greatest(coalesce(tf, 1), 1))::bigint as tf from postings where word is not null and url is not null and {_WORD} <> '' group by 1, 2),
 n as (select count(distinct url) as n from o), d as (select word, count(*) as df from o group by 1),
@@ -119,6 +130,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_ranking": _P1 + "select query_id, url, tfidf, pagerank, rank_pagerank::bigint as rank_pagerank, rank_tfidf::bigint as rank_tfidf, 1.0::double / (rank_pagerank + 60) + 1.0::double / (rank_tfidf + 60) as fused from k",
         "p1_found": _P1 + "select query_id, url from (select *, row_number() over (partition by query_id order by 1.0::double / (rank_pagerank + 60) + 1.0::double / (rank_tfidf + 60) desc, url) as p from k) where p <= 5",
+        "p7_seen": _P7 + "select queue_id, seen from g",
+        "p7_found": _P7 + "select queue_id from g where seen",
         "p6_scores": _P6 + "select url, word, tf, df, round(score, 6) as score from s",
         "p6_found": _P6 + "select url, word from (select *, row_number() over (partition by url order by score desc, word) as p from s where url in (select url from key_pages)) where p = 1",
     }

@@ -10,50 +10,108 @@ from weftline.session import scratch
 from weftline.sources.tables import read_table, stream_table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the session that holds the state: on disk, changes written as a log, no count of rows, no empty batches.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+#: Bytes of the first files for each partition of the state, whose number stays what it is then.
+BYTES_PER_PARTITION = 32 << 20
+_ROWS, _ANSWERS, _MARKS = "key string, place bigint, turn int", "place bigint, key string, seen boolean, step int", "upto int, step int"
 
 
-def first_sightings(stream: DataFrame, key: str, order: str, path: str) -> DataFrame:
-    """Runs the stream to its present end and returns (``key``, ``order``): the first place of every key.
+def state_session(spark: SparkSession, partitions: int) -> SparkSession:
+    """A session of its own beside ``spark``, with its settings and those of the state; ``spark`` is left as it is."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    for k, v in {**STATE, "spark.sql.shuffle.partitions": str(partitions)}.items():
+        own.conf.set(k, v)
+    return own
 
-    State is one row per key in a RocksDB state store, partitioned by the key's hash, spilled to local disk and
-    checkpointed under ``path`` with every micro-batch; nothing expires, so answers are exact however old the first
-    occurrence is. A micro-batch adds the smallest order of each of its keys to the state (map-side first, so that a
-    key with a third of the rows travels once per task) and emits the keys it touched. Should files arrive out of
-    order, a later batch corrects an earlier answer, and the smallest one counts. Run again with the same ``path``,
-    the stream goes on where it stopped and reads new files only."""
+
+def partitions_for(*tables: DataFrame) -> int:
+    """How many partitions the state of keys from such tables gets: by their size, and a task for each core at least."""
+    size = sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-size // BYTES_PER_PARTITION))
+
+
+def first_or_repeat(stream: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+    """Runs a stream of (key, place) to its present end and returns (place, key, seen) of every row so far whose place is not
+    negative: whether its key occurs with a smaller place, in the same micro-batch or any earlier one.
+
+    State is a row for each key, its first place, in a RocksDB state store: on disk, partitioned by the key, checkpointed
+    under ``path`` with every micro-batch; nothing ever expires, so answers are exact however long ago the first
+    occurrence was, and memory is bounded by the store's cache. A micro-batch sends the smallest place of each of its
+    keys to the store (map-side first, so that a key with a third of the rows is one row of each task), the store gives
+    back the first place of these keys, and each row of the micro-batch is answered by it, once: no answer is looked
+    at again. Rows of negative place (keys known from elsewhere) are remembered and not answered; null keys are never
+    seen; rows with the same key and place are the same record.
+
+    Run again with the same ``path``, the stream goes on where it stopped, with all keys it knows: it reads and answers
+    new rows only. What a failed run left is done first. A row that comes after rows of larger place is answered by
+    what has a smaller place; the answers that were given already stay. ``partitions`` of the state hold for good from
+    the first run on (default: those of shuffles)."""
     spark = stream.sparkSession
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
-        firsts = stream.groupBy(key).agg(F.min(order).alias(order))
-
-        def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/firsts/batch={batch_id}")
-
-        q = firsts.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(sink).start()
-        q.awaitTermination()
-    finally:
-        if old is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    schema = stream.select(key, order).schema.simpleString()[7:-1].replace(":", " ")
-    found = spark.read.schema(schema).parquet(f"{path}/firsts")
-    return found.groupBy(key).agg(F.min(order).alias(order))
-
-
-def seen_before(spark: SparkSession, sf_dir: str, files_per_batch: int = 4) -> DataFrame:
+    own = state_session(spark, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def keep(batch: DataFrame, turn: int) -> None:
+        batch.select(F.col("key").cast("string").alias("key"), F.col("place").cast("bigint").alias("place")).write.mode("overwrite").parquet(f"{path}/rows/turn={turn}")
+
+    def answer(touched: DataFrame, step: int) -> None:
+        at = touched.sparkSession
+        done = at.read.schema(_MARKS).parquet(f"{path}/marks").where(F.col("step") < step).agg(F.max("upto")).first()[0] if step else None
+        upto = max(_turns(at, f"{path}/rows"))
+        rows = at.read.schema(_ROWS).parquet(f"{path}/rows").where((F.col("turn") > (-1 if done is None else done)) & (F.col("turn") <= upto) & (F.col("place") >= 0))
+        answered = rows.join(touched, "key", "left").select("place", "key", F.coalesce(F.col("first") < F.col("place"), F.lit(False)).alias("seen"))
+        answered.write.mode("overwrite").parquet(f"{path}/answers/step={step}")
+        at.createDataFrame([(upto,)], "upto int").write.mode("overwrite").parquet(f"{path}/marks/step={step}")
+
+    def take() -> None:
+        if _turns(spark, f"{path}/rows"):
+            staged = own.readStream.schema(_ROWS).parquet(f"{path}/rows")
+            firsts = staged.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("place").alias("first"))
+            _drain(firsts.writeStream.outputMode("update"), f"{path}/keys", answer)
+
+    take()
+    _drain(stream.writeStream, f"{path}/stream", keep)
+    take()
+    found = spark.read.schema(_ANSWERS).parquet(f"{path}/answers") if _turns(spark, f"{path}/answers", "step=") else spark.createDataFrame([], _ANSWERS)
+    return found.drop("step")
+
+
+def _drain(writer, checkpoint: str, sink) -> None:
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+
+
+def _turns(spark: SparkSession, path: str, prefix: str = "turn=") -> list[int]:
+    """The numbers of the folders that are written completely under ``path``."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return [int(n[len(prefix) :]) for n in names if n.startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
+def seen_before(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """(queue_id, url_key, seen): for each frontier row, in order of queue_id, whether its normalised url occurs in
-    ``visited`` or in a frontier row before it. Null and empty urls have a null key and are never seen; repeated
-    rows of ``visited`` change nothing."""
-    visited = stream_table(spark, sf_dir, "visited", files_per_batch).select(normalize_url(F.col("url")).alias("k"), F.lit(-1).cast("bigint").alias("o"))
-    frontier = stream_table(spark, sf_dir, "frontier", files_per_batch).select(normalize_url(F.col("url")).alias("k"), F.col("queue_id").alias("o"))
-    keyed = visited.unionByName(frontier).where(F.col("k").isNotNull()).select("k", "o")
-    firsts = first_sightings(keyed, "k", "o", scratch(spark, "seen"))
-    # A frontier row is new exactly if it is the first place of its key; places are unique, so they are the join key.
-    new = firsts.where(F.col("o") >= 0).select(F.col("o").alias("queue_id"), F.lit(True).alias("_new"))
-    rows = read_table(spark, sf_dir, "frontier").select("queue_id", normalize_url(F.col("url")).alias("url_key"))
-    return rows.join(new, "queue_id", "left").select("queue_id", "url_key", (F.col("url_key").isNotNull() & F.col("_new").isNull()).alias("seen"))
+    ``visited`` or in a frontier row before it. Null and empty urls have a null key and are never seen; repeated rows of
+    ``visited`` change nothing.
+
+    ``path`` is the folder of the state; with one that earlier calls used, only rows that are new since are read. By
+    default a new one in the shared folder."""
+    key = normalize_url(F.col("url")).alias("key")
+    visited = stream_table(spark, sf_dir, "visited", None).select(key, F.lit(-1).cast("bigint").alias("place"))
+    frontier = stream_table(spark, sf_dir, "frontier", None).select(key, F.col("queue_id").alias("place"))
+    rows = visited.where(F.col("key").isNotNull()).unionByName(frontier)
+    partitions = partitions_for(read_table(spark, sf_dir, "visited"), read_table(spark, sf_dir, "frontier"))
+    answers = first_or_repeat(rows, path or scratch(spark, "seen"), partitions)
+    return answers.select(F.col("place").alias("queue_id"), F.col("key").alias("url_key"), "seen")
 
 
 def error_rate(answers: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
