@@ -183,3 +183,17 @@ def test_fetch_asks_for_the_head_first(spark):
     got = {r["url"]: r for r in fetch(urls, lambda u: (200, "text/html", b"x" * 9), 4, heads.get).collect()}
     assert bytes(got["http://h/1"]["page"]) == b"xxxx" and got["http://h/1"]["length"] == 9
     assert got["http://h/2"]["location"] == "http://h/1" and [u for u, r in got.items() if r["page"] is not None] == ["http://h/1"] and len(got) == 6
+
+
+def test_ranks_of_scores_that_share_their_magnitude(spark):
+    rnd = random.Random(6)
+    data = [("q", 1.0 + rnd.randrange(400) * 1e-7) for _ in range(300)] + [("q", None), ("q", None), ("q", 0.0), (None, 2.0), (None, 3.0), ("r", 1e-300), ("r", 1e300)]
+    got = rows(rank_by_score(spark.createDataFrame(data, "k string, s double"), ["k"], "s", "rank"))
+    value = lambda s: -1.0 if s is None else s
+    want = sorted(((k, s, 1 + sum(k2 == k and value(s2) > value(s) for k2, s2 in data)) for k, s in data), key=repr)
+    assert got == want
+
+
+def test_rows_without_an_item_are_spread(spark):
+    df = spark.range(4000).repartition(4).selectExpr("'w' as word", "cast(null as string) as url", "1L as tf")
+    assert [tuple(r) for r in salted_counts(df, "word", "url", "tf").collect()] == [("w", 4000, 0, 0)]

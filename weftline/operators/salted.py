@@ -39,7 +39,9 @@ def salted_counts(df: DataFrame, key: str, item: str, value: str, share: float =
     heavy = heavy_keys(slim.select("_k"), "_k", share).select(
         F.col("_k").alias("_hk"), F.ceil(F.col("rows") / (F.lit(share) * F.col("all_rows"))).alias("_salts")
     )
-    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("_i"), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
+    # Rows without an item need not meet: they are spread by the part they are read in.
+    by = F.when(F.col("_i").isNull(), F.spark_partition_id().cast("bigint")).otherwise(F.xxhash64("_i"))
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(by, F.col("_salts"))).otherwise(F.lit(0)).cast("int")
     # heavy has at most 1 / share rows.
     spread = slim.where(F.col("_k").isNotNull()).join(F.broadcast(heavy), F.col("_k") == F.col("_hk"), "left")
     spread = spread.select("_k", salt.alias("_s"), "_i", "_v").repartition("_k", "_s")
