@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.ranking import rank_by_score
+from weftline.operators.ranking import null_safe_join, rank_table
+from weftline.session import cut
 
 #: The constant of the published method: how much the first places count beyond the following ones.
 RRF_CONSTANT = 60
@@ -23,12 +24,15 @@ def fuse_rankings(df: DataFrame, keys: list[str], scores: list[str], k: int = RR
     Ranks are competition ranks inside ``keys``, highest score first; equal scores share a rank, and a score that is
     null, NaN, infinite or negative shares the rank after all usable ones, so scales and ranges never matter.
     Repeated rows are ranked as they come; an empty table gives no rows. The columns of ``df`` are all kept; a
-    column that is already named ``fused`` or ``rank_<score>`` is replaced."""
-    out = df.drop("fused", *[f"rank_{s}" for s in scores])
-    fused = F.lit(0.0)
+    column that is already named ``fused`` or ``rank_<score>`` is replaced.
+
+    ``df`` is computed and written once; each score's ranks are made from that table's keys and the score alone, one
+    row for each different score, and joined with it."""
+    base = cut(df.drop("fused", *[f"rank_{s}" for s in scores]), "candidates")
+    out, fused = base, F.lit(0.0)
     for i, s in enumerate(scores):
-        ranked = rank_by_score(out.withColumn(f"_u{i}", usable(F.col(s))), keys, f"_u{i}", f"rank_{s}")
-        out = ranked.drop(f"_u{i}")
+        ranks = rank_table(base.select(*keys, usable(F.col(s)).alias(f"_u{i}")), keys, f"_u{i}", f"rank_{s}")
+        out = null_safe_join(out.withColumn(f"_u{i}", usable(F.col(s))), ranks, [*keys, f"_u{i}"]).drop(f"_u{i}")
         fused = fused + F.lit(1.0) / (F.col(f"rank_{s}") + F.lit(k))
     return out.withColumn("fused", fused)
 
