@@ -168,6 +168,33 @@ def test_tree_concatenation_is_exact():
         assert encode.encode_text(enc, text, 4_000) == enc.encode_ordinary(text)
 
 
+def test_no_long_text_is_taken_whole():
+    enc = encode.encoding()
+    rnd = random.Random(8)
+    for _ in range(300):
+        text = " " * rnd.randrange(40_000) + "?!" * rnd.randrange(20_000) + "ab" * rnd.randrange(20_000) + rnd.choice(["", " x", "'s", "\n"])
+        parts = encode.leaves(text, 4_000)
+        assert all(len(t) <= 4_000 for t, _ in parts) and "".join(t for t, _ in parts) == text
+    text = " " * 9_000 + "?!" * 5_000 + "ab" * 9_000
+    assert encode.encode_text(enc, text, 4_000) == enc.encode_ordinary(text)
+
+
+def test_windows_over_a_corpus(spark, monkeypatch):
+    """Texts that no place parts, longer than a leaf with production parameters: their joins are encoded in windows."""
+    rnd = random.Random(4)
+    letters = "".join(rnd.choice("abcdefghijklmnop") for _ in range(40_000))
+    texts = ["ha" * 20_000, letters, " " * 40_000 + "x", "漢字" * 12_000, "1234567890" * 4_000, "=" * 50_000, " " * 20_000 + "?!" * 12_000 + "ab" * 9_000, "word " * 9_000 + letters + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    enc, joins = encode.encoding(), []
+    join = encode.join_ids
+    monkeypatch.setattr(encode, "join_ids", lambda e, a, b: joins.append(1) or join(e, a, b))
+    for t in texts:
+        assert encode.encode_text(enc, t) == enc.encode_ordinary(t)
+    assert len(joins) >= 2 * len(texts)  # in this process; the tasks below do the same
+    got = {r["doc_id"]: r["ids"] for r in encode.encode_documents(df).collect()}
+    assert all(got[i] == enc.encode_ordinary(t) for i, t in enumerate(texts))
+
+
 def test_same_ids_as_the_other_library():
     from tokenizers import Tokenizer
 

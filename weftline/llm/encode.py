@@ -51,9 +51,18 @@ def _safe(text: str, i: int) -> bool:
     return a != "S" and a != b and not (a == "P" and b == "L")
 
 
+def _inside(text: str, i: int) -> bool:
+    """Whether i is inside a run of one kind, with some of it on both sides."""
+    return i >= _KEEP and all(_kind(c) == _kind(text[i]) for c in text[i - _KEEP : i + _KEEP]) and i + _KEEP <= len(text)
+
+
 def leaves(text: str, limit: int) -> list[tuple[str, bool]]:
     """The text in parts of at most ``limit`` characters, halved again and again, each with whether it must be merged
-    with the next one: only where no place near the middle parts the pieces, inside one very long piece."""
+    with the next one: only where no place near the middle parts the pieces, inside one very long piece.
+
+    Pieces don't part for sure only inside a run of one kind, after a space, and from a sign to a letter. So what has no
+    place to part is spaces, signs and letters in this order, and one of the three runs is long enough to be cut inside:
+    no text of more than a hundred characters or so is ever left whole."""
     if len(text) <= limit:
         return [(text, False)]
     mid, reach, cut, merge = len(text) // 2, min(len(text) // 4, limit // 4), 0, False
@@ -65,9 +74,12 @@ def leaves(text: str, limit: int) -> list[tuple[str, bool]]:
             cut = mid + d
             break
     if not cut:
-        cut = mid
-        merge = all(_kind(c) == _kind(text[mid]) for c in text[mid - _KEEP : mid + _KEEP])
-        if not merge:  # mixed spaces and others around the middle, yet no safe place: take it whole
+        for d in range(len(text) // 2 - _KEEP):
+            cut = next((i for i in (mid - d, mid + d) if _inside(text, i)), 0)
+            if cut:
+                merge = True
+                break
+        else:  # shorter than a hundred characters
             return [(text, False)]
     left, right = leaves(text[:cut], limit), leaves(text[cut:], limit)
     return left[:-1] + [(left[-1][0], merge)] + right
