@@ -118,6 +118,67 @@ def test_page_languages(spark, model):
     assert language.page_languages(df.limit(0), model, True).count() == 0
 
 
+OTHERS = {
+    "el": "Το παλιό λιμάνι δείχνει τη μεγάλη λίστα. Οι άνθρωποι του χωριού περιμένουν το καλοκαίρι.", "ar": "يظهر الميناء القديم القائمة الطويلة. ينتظر الناس الصيف في القرية.",
+    "zh": "旧港口展示了一份很长的名单。村里的人们都在等待夏天的到来。", "ko": "오래된 항구가 긴 목록을 보여준다. 마을 사람들은 여름을 기다린다.", "hi": "पुराना बंदरगाह लंबी सूची दिखाता है। गाँव के लोग गर्मियों का इंतज़ार करते हैं।",
+}
+SAME = {
+    "en": "She walked along the river and thought about the letters her brother had written during the war.", "de": "Sie ging den Fluss entlang und dachte an die Briefe, die ihr Bruder im Krieg geschrieben hatte.",
+    "nl": "Ze liep langs de rivier en dacht aan de brieven die haar broer tijdens de oorlog had geschreven.", "fr": "Elle marchait le long de la rivière en pensant aux lettres que son frère avait écrites pendant la guerre.",
+    "es": "Caminaba por la orilla del río y pensaba en las cartas que su hermano había escrito durante la guerra.", "pt": "Ela caminhava pela margem do rio e pensava nas cartas que o irmão tinha escrito durante a guerra.",
+    "it": "Camminava lungo il fiume e pensava alle lettere che suo fratello aveva scritto durante la guerra.", "ru": "Она шла вдоль реки и думала о письмах, которые её брат написал во время войны.", "ja": "彼女は川沿いを歩きながら、戦争中に兄が書いた手紙のことを考えていた。",
+}
+
+
+def test_other_languages_are_none_of_the_nine(spark, model):
+    for lang, text in OTHERS.items():
+        assert {x[0] for x in language.stretches(language.label_text(model, [text]))} == {language.OTHER}, lang
+    for lang, text in SAME.items():  # sentences unlike the samples
+        assert [x[0] for x in language.stretches(language.label_text(model, [text]))] == [lang]
+    df = pages(spark, [(1, "u", page(f"<p>{OTHERS['el']}</p>"), None), (2, "u", page(f"<p>{OTHERS['el']}</p><p>{DE}</p>"), None)])
+    assert sorted((r["crawl_id"], r["lang"]) for r in language.page_languages(df, model, True).collect()) == [(2, "de")]
+    assert [(r["crawl_id"], r["lang"]) for r in language.page_languages(df, model, False).orderBy("crawl_id", "segment").collect()] == [(1, "und"), (2, "und"), (2, "de")]
+
+
+def test_confidence_on_held_out_samples():
+    """Of sentences that the model was not fitted to, and their first words, those of a confidence are right as often or
+    more often."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    rows = [(r["lang"], r["text"]) for r in pq.read_table(f"{DATA}/lang_samples.parquet").to_pylist()]
+    random.Random(1).shuffle(rows)
+    pieces, half, got = language.pieces_of(), len(rows) // 2, []
+    for train, held in ((rows[:half], rows[half:]), (rows[half:], rows[:half])):
+        m = language.fit(train, pieces)
+        for lang, text in held:
+            for part in (text, " ".join(text.split()[:3])):
+                got += [(c, g == lang) for _, _, _, g, c in language.label_text(m, [part])[:1]]
+    for low, high in ((0.5, 0.7), (0.7, 0.9), (0.9, 1.01)):
+        hits = [ok for c, ok in got if low <= c < high]
+        mean = sum(c for c, _ in got if low <= c < high) / len(hits)
+        assert sum(hits) / len(hits) >= mean - 0.1, (low, len(hits), sum(hits) / len(hits), mean)
+    assert sum(ok for _, ok in got) / len(got) > 0.85
+
+
+def test_a_foreign_sentence_lowers_the_confidence(model):
+    alone = language.stretches(language.label_text(model, [DE]))[0]
+    mixed = language.stretches(language.label_text(model, [DE + " The bridge is old. " + DE]))
+    assert alone[0] == mixed[0][0] == "de" and (len(mixed) > 1 or mixed[0][1] < alone[1])
+
+
+def test_both_queries_label_alike(spark, model):
+    rows = [(i, "u", page("".join(f"<p>{t}</p>" for t in ts)), None) for i, ts in enumerate(([EN, DE], [DE + " " + EN], [SAME["fr"] + " " + SAME["fr"], DE], [SAME["it"]]))]
+    df = pages(spark, rows)
+    for row in rows:
+        _, labels, langs, _ = language.judge(model, row[2].decode())
+        assert langs <= {x[3] for x in labels}
+    found = {(r["crawl_id"], r["lang"]) for r in language.page_languages(df, model, True).collect()}
+    segments = {(r["crawl_id"], r["lang"]) for r in language.page_languages(df, model, False).collect()}
+    assert found <= segments and (0, "de") in found and (0, "en") in found
+
+
 # ---- 5
 
 

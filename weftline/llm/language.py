@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.boilerplate import main_blocks
-from weftline.llm.dom import attributes, decode, has_html, sentence_ends
+from weftline.llm.dom import attributes, decode, has_html
 from weftline.llm.encode import TOKENIZER_DIR
 from weftline.session import spread
 
-MAX_PIECE = 12  # characters
+#: The class of text in none of the languages of the samples.
+OTHER = "und"
 #: Sentences of each language that the model is fitted to at most; ``lang_samples`` has 40 of each and does not grow.
 MAX_SAMPLES = 2000
 # Runs of letters with inner apostrophes; scripts without blanks go on until their script changes.
@@ -46,14 +47,15 @@ def declared(label: str | None) -> str | None:
 
 
 def pieces_of(folder: str = TOKENIZER_DIR, name: str = "piece_bpe_32k") -> set[str]:
-    """The vocabulary in lower case, without markers and byte pieces: pieces of letters up to ``MAX_PIECE`` long."""
+    """The vocabulary in lower case: all its pieces of letters, with the mark of a word's beginning as a blank. The others
+    (signs, digits, byte pieces) cannot occur, because words are runs of letters."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, f"{name}.model"))
     out = set()
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i).replace("▁", " ").lower()
-        if not p.startswith("<") and 0 < len(p) <= MAX_PIECE and (p.strip().isalpha() or p == " "):
+        if not p.startswith("<") and p and (p.strip().isalpha() or p == " "):
             out.add(p)
     return out
 
@@ -64,6 +66,7 @@ class Model:
 
     def __init__(self, langs: list[str], prob: dict[str, np.ndarray], floor: np.ndarray):
         self.langs, self.prob, self.floor = langs, prob, floor
+        self.longest = max(map(len, prob), default=1)
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(langs)))
 
@@ -80,7 +83,7 @@ class Model:
         return k
 
     def log_prob(self, word: str) -> np.ndarray:
-        return _forward(word if _unspaced(word) else " " + word, self.prob, self.floor)
+        return _forward(word if _unspaced(word) else " " + word, self.prob, self.floor, self.longest)
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Log probability of the words of each text under each language: a row for each text, of zeros for one without
@@ -114,32 +117,42 @@ def _unspaced(word: str) -> bool:
     return "぀" <= word[0] <= "鿿"
 
 
-def _forward(s: str, prob: dict[str, np.ndarray], floor: np.ndarray) -> np.ndarray:
+def _forward(s: str, prob: dict[str, np.ndarray], floor: np.ndarray, longest: int | None = None) -> np.ndarray:
     """log sum over segmentations, for all languages at once; long words are rescaled on the way and do not underflow."""
     n, get = len(s), prob.get
+    longest = longest or max(map(len, prob), default=1)
     alpha = [np.ones_like(floor)]
     scale = 0.0
     for j in range(1, n + 1):
         p = get(s[j - 1])
         total = alpha[j - 1] * (floor if p is None else p)
-        for i in range(max(0, j - MAX_PIECE), j - 1):
+        for i in range(max(0, j - longest), j - 1):
             p = get(s[i:j])
             if p is not None:
                 total += alpha[i] * p
         alpha.append(total)
         if n > 20 and total.max() < 1e-200:  # rescale the window that later steps can still see
-            for i in range(max(0, j - MAX_PIECE), j + 1):
+            for i in range(max(0, j - longest), j + 1):
                 alpha[i] = alpha[i] * 1e200
             scale -= 200 * math.log(10)
     return np.log(np.maximum(alpha[n], 1e-320)) + scale
 
 
+#: How likely a character that no sample has is under the class of other languages, in shares of an even vocabulary; under
+#: the languages themselves it is a thousandth.
+UNKNOWN = 0.05
+#: And how much less likely the pieces of the samples are there than in all samples together: text that is made of them is
+#: put in the nearest language, however little it resembles its samples, which are few.
+DISCOUNT = 0.3
+
+
 def fit(samples: Iterable[tuple[str, str]], vocabulary: set[str], rounds: int = 4, mass: float = 0.12) -> Model:
     """Piece probabilities for each language of (lang, text) rows.
 
     Expected piece counts are the forward-backward sums over segmentations. They are smoothed in two steps: towards
     the counts of all languages together, with the weight of ``mass``, and to an even share over the vocabulary, so
-    that no piece is impossible anywhere."""
+    that no piece is impossible anywhere. Text of a language without samples is like all of them and none: its class,
+    ``OTHER``, has the counts of all languages together at a discount, and expects characters that no sample has."""
     words: dict[str, Counter] = defaultdict(Counter)
     used: Counter = Counter()
     for lang, text in samples:
@@ -151,12 +164,12 @@ def fit(samples: Iterable[tuple[str, str]], vocabulary: set[str], rounds: int =
     chars = {c for ws in words.values() for w in ws for c in w}
     vocab = {p for p in vocabulary if set(p) <= chars} | chars
     # Whole words of the samples are no pieces of their own: pieces come from the public vocabulary only.
-    even = 1.0 / max(1, len(vocab))
+    even, longest = 1.0 / max(1, len(vocab)), max(map(len, vocab), default=1)
     prob = {lang: dict.fromkeys(vocab, even) for lang in langs}
     counts: dict[str, Counter] = {}
     for _ in range(rounds):
         for lang in langs:
-            counts[lang] = _expected(words[lang], prob[lang])
+            counts[lang] = _expected(words[lang], prob[lang], longest)
         for lang in langs:
             total = sum(counts[lang].values()) or 1.0
             prob[lang] = {p: 0.999 * counts[lang][p] / total + 0.001 * even for p in vocab}
@@ -165,9 +178,10 @@ def fit(samples: Iterable[tuple[str, str]], vocabulary: set[str], rounds: int =
         total = sum(counts[lang].values()) or 1.0
         for p, c in counts[lang].items():
             everything[p] += c / total / len(langs)
-    out = {p: np.array([(1 - mass) * (0.98 * counts[g][p] / (sum(counts[g].values()) or 1.0) + 0.02 * even * _short(p)) + mass * (0.9 * everything[p] + 0.1 * even) for g in langs]) for p in vocab}
-    floor = np.full(len(langs), even * 1e-3)
-    return Model(langs, out, floor)
+    shared = {p: 0.9 * everything[p] + 0.1 * even for p in vocab}
+    own = lambda g, p: (1 - mass) * (0.98 * counts[g][p] / (sum(counts[g].values()) or 1.0) + 0.02 * even * _short(p)) + mass * shared[p]
+    out = {p: np.array([own(g, p) for g in langs] + [DISCOUNT * shared[p]]) for p in vocab}
+    return Model([*langs, OTHER], out, even * np.array([1e-3] * len(langs) + [UNKNOWN]))
 
 
 def _short(p: str) -> float:
@@ -175,13 +189,13 @@ def _short(p: str) -> float:
     return 0.5 ** (len(p) - 1)
 
 
-def _expected(words: Counter, prob: dict[str, float]) -> Counter:
+def _expected(words: Counter, prob: dict[str, float], longest: int) -> Counter:
     out: Counter = Counter()
     for w, c in words.items():
         n = len(w)
         a = [1.0] + [0.0] * n
         b = [0.0] * n + [1.0]
-        spans = [(i, j, prob[w[i:j]]) for i in range(n) for j in range(i + 1, min(n, i + MAX_PIECE) + 1) if w[i:j] in prob]
+        spans = [(i, j, prob[w[i:j]]) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if w[i:j] in prob]
         for i, j, p in spans:  # sorted by start: every a[i] is complete when it is used
             a[j] += a[i] * p
         for i, j, p in reversed(spans):
@@ -196,33 +210,21 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s and s.strip()]
 
 
-#: Nats that a change of language costs, between paragraphs and inside one; and the lead of the best language over the
-#: second, in nats for each word, from which on a paragraph is taken as a whole.
-BETWEEN, WITHIN, CLEAR = 10.0, 14.0, 0.6
+#: Nats that a change of language costs, between paragraphs and inside one.
+BETWEEN, WITHIN = 10.0, 14.0
+#: What log probabilities are divided by for a confidence: sums over the words of a sentence are far too sure, because words
+#: are not independent. Chosen on held-out samples (see the tests), where sentences of a confidence are right as often.
+TEMPERATURE = 3.0
 
 
-def label_text(model: Model, paragraphs: list[str], by_sentence: bool = False) -> list[tuple[int, int, int, str, float]]:
-    """(paragraph, sentences, characters, language, confidence) of each part with words: a whole paragraph where one
-    language leads clearly, else each of its sentences (always, if ``by_sentence``).
+def label_text(model: Model, paragraphs: list[str]) -> list[tuple[int, int, int, str, float]]:
+    """(paragraph, sentences, characters, language, confidence) of each sentence with words.
 
-    The languages are the best path through all parts of the text, where each change has its cost. The confidence is
-    the probability of the language among all, for the part with the neighbours that the path puts in the same one."""
-    counts = [sentence_ends(p) + 1 for p in paragraphs]
-    if by_sentence:
-        parts = [(k, 1, x) for k, p in enumerate(paragraphs) for x in sentences(p)]
-        table = model.texts([x for _, _, x in parts])
-    else:
-        parts = [(k, n, p) for k, (n, p) in enumerate(zip(counts, paragraphs))]
-        table = model.texts(paragraphs)
-        order = np.partition(table, -2, axis=1)[:, -2:] if len(table) else np.zeros((0, 2))
-        lead = (order[:, 1] - order[:, 0]).tolist()
-        vague = [k for k, n, p in parts if n > 1 and lead[k] < CLEAR * (p.count(" ") + 1)]
-        if vague:
-            split = [(k, 1, x) for k in vague for x in sentences(paragraphs[k])]
-            more = model.texts([x for _, _, x in split])
-            both = [(part, row) for part, row in zip(parts, table) if part[0] not in vague] + list(zip(split, more))
-            both.sort(key=lambda b: b[0][0])
-            parts, table = [b[0] for b in both], np.array([b[1] for b in both])
+    The languages are the best path through all sentences of the text, where each change has its cost. The confidence
+    of a sentence is the probability of its language among all, with the neighbours' language as it is on the path:
+    a sentence that another language would explain better than the one it was put in has a low one."""
+    parts = [(k, 1, x) for k, p in enumerate(paragraphs) for x in sentences(p)]
+    table = model.texts([x for _, _, x in parts])
     keep = table[:, 0] < 0 if len(table) else np.zeros(0, bool)
     if not keep.all():
         parts, table = [p for p, k in zip(parts, keep) if k], table[keep]
@@ -232,48 +234,46 @@ def label_text(model: Model, paragraphs: list[str], by_sentence: bool = False) -
         return []
     firsts = table.argmax(axis=1)
     if (firsts == firsts[0]).all():  # the best path never changes
-        total = table.sum(axis=0)
-        conf = 1.0 / float(np.exp(np.clip(total - total[firsts[0]], -700, 700)).sum())
-        return [(*x, model.langs[firsts[0]], conf) for x in items]
-    best, back = scores[0], []
-    for t in range(1, len(items)):
-        cost = WITHIN if items[t][0] == items[t - 1][0] else BETWEEN
-        top = int(best.argmax())
-        floor = best[top] - cost
-        back.append((best < floor, top))
-        best = np.maximum(best, floor) + scores[t]
-    state = int(best.argmax())
-    path = [state]
-    for move, top in reversed(back):
-        state = top if move[state] else state
-        path.append(state)
-    path.reverse()
-    out, start = [], 0
-    for t in range(len(items) + 1):
-        if t == len(items) or path[t] != path[start]:
-            total = np.sum(scores[start:t], axis=0)
-            conf = 1.0 / float(np.exp(np.clip(total - total[path[start]], -700, 700)).sum())
-            out += [(*items[i], model.langs[path[start]], conf) for i in range(start, t)]
-            start = t
-    return out
+        path = firsts.tolist()
+    else:
+        best, back = scores[0], []
+        for t in range(1, len(items)):
+            cost = WITHIN if items[t][0] == items[t - 1][0] else BETWEEN
+            top = int(best.argmax())
+            floor = best[top] - cost
+            back.append((best < floor, top))
+            best = np.maximum(best, floor) + scores[t]
+        state = int(best.argmax())
+        path = [state]
+        for move, top in reversed(back):
+            state = top if move[state] else state
+            path.append(state)
+        path.reverse()
+    chosen = np.array(path)
+    rows = np.arange(len(items))
+    alone = scores - WITHIN * (np.arange(scores.shape[1])[None, :] != chosen[:, None]) if len(items) > 1 else scores
+    conf = 1.0 / np.exp(np.clip((alone - alone[rows, chosen][:, None]) / TEMPERATURE, -700, 700)).sum(axis=1)
+    return [(*x, model.langs[g], float(c)) for x, g, c in zip(items, path, conf)]
 
 
 def stretches(labels: list[tuple[int, int, int, str, float]]) -> list[tuple[str, float, int, int, int]]:
-    """(language, confidence, first paragraph, last paragraph, characters) of each stretch in one language."""
+    """(language, confidence, first paragraph, last paragraph, characters) of each stretch in one language; its confidence
+    is the mean of its sentences', by their length."""
     out: list[list] = []
     for k, _, chars, lang, conf in labels:
         if out and out[-1][0] == lang:
-            out[-1][3], out[-1][4] = k, out[-1][4] + chars
+            out[-1][1], out[-1][3], out[-1][4] = out[-1][1] + conf * chars, k, out[-1][4] + chars
         else:
-            out.append([lang, conf, k, k, chars])
-    return [tuple(x) for x in out]
+            out.append([lang, conf * chars, k, k, chars])
+    return [(lang, total / chars, first, last, chars) for lang, total, first, last, chars in out]
 
 
 def paragraph_languages(labels: list[tuple[int, int, int, str, float]], least: int = 2) -> set[str]:
-    """The languages in which some paragraph has ``least`` sentences or more."""
+    """The languages of the samples in which some paragraph has ``least`` sentences or more."""
     n: Counter = Counter()
     for k, count, _, lang, _ in labels:
-        n[k, lang] += count
+        if lang != OTHER:
+            n[k, lang] += count
     return {lang for (_, lang), c in n.items() if c >= least}
 
 
@@ -309,9 +309,9 @@ def page_paragraphs(text: str) -> list[str]:
     return [" ".join(p.split()) for p in re.split(r"\n\s*\n", prose) if p.strip() and not p.lstrip().startswith(("{|", "{{", "|", "!"))]
 
 
-def judge(model: Model, text: str, by_sentence: bool = False) -> tuple[str | None, list[tuple[int, int, int, str, float]], set[str], bool]:
+def judge(model: Model, text: str) -> tuple[str | None, list[tuple[int, int, int, str, float]], set[str], bool]:
     """(declared language, labels, paragraph languages, whether the declaration is a case)."""
-    labels = label_text(model, page_paragraphs(text), by_sentence)
+    labels = label_text(model, page_paragraphs(text))
     langs = paragraph_languages(labels)
     said = declared(declaration(text)) if has_html(text) else None
     return said, labels, langs, len(langs) > 1 or bool(langs) and said not in langs
@@ -362,7 +362,7 @@ def page_languages(df: DataFrame, model: Model, found_only: bool, id_col: str =
             for i, page, ct in zip(*(c.to_pylist() for c in b.columns)):
                 text = decode(page, ct)
                 if text.strip():
-                    said, labels, _, _ = judge(m, text, True)
+                    said, labels, _, _ = judge(m, text)
                     rows += [(i, k, lang, conf, said, first, last, chars) for k, (lang, conf, first, last, chars) in enumerate(stretches(labels))]
             cols = list(zip(*rows)) if rows else [[] for _ in range(8)]
             types = [b.column(0).type, pa.int32(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
