@@ -70,6 +70,27 @@ def test_main_content_on_held_out_pages():
     assert r["precision"] > 0.99 and r["recall"] > 0.99 and r["whole pages"] > 0.97
 
 
+_BODY = [EN, DE, "A third paragraph tells what happened after that. It was a long day for all of them."]
+_SIDE = "<ul><li><a href='/a'>Part one</a></li><li><a href='/b'>Part two</a></li><li><a href='/c'>Part three</a></li></ul>"
+_FOOT = "<p>© 2024 The Company</p><p><a href='/p'>Privacy</a> <a href='/t'>Terms</a></p>"
+_P = "".join(f"<p>{t}</p>" for t in _BODY)
+# Layouts written and labelled by hand: how often the own paragraphs and the headline must come out is known.
+LAYOUTS = {
+    "headline in the header of an article": (f"<body><div class='top'>{_SIDE}</div><article><header><h1>A walk</h1></header>{_P}</article><footer>{_FOOT}</footer></body>", ["A walk", *_BODY]),
+    "no main element": (f"<body><nav>{_SIDE}</nav><div id='content'><h1>A walk</h1>{_P}</div><div id='footer'>{_FOOT}</div></body>", ["A walk", *_BODY]),
+    "sidebar first": (f"<body><aside>{_SIDE}</aside><section><h1>A walk</h1>{_P}<h2>Then</h2><p>{EN}</p></section><footer>{_FOOT}</footer></body>", ["A walk", *_BODY, "Then", EN]),
+    "list and quote": (f"<body><header>{_SIDE}</header><main><h1>A walk</h1><p>{EN}</p><ul><li>One long line in a list of lines.</li><li>Another long line in the same list.</li></ul><blockquote><p>{DE}</p></blockquote></main><footer>{_FOOT}</footer></body>", ["A walk", EN, "One long line in a list of lines.", "Another long line in the same list.", DE]),
+    "flat body": (f"<body>{_SIDE}<h1>A walk</h1>{_P}{_FOOT}</body>", ["A walk", *_BODY]),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts_labelled_by_hand(name):
+    html, want = LAYOUTS[name]
+    got = [b.text for b in boilerplate.main_blocks(f"<!doctype html><html><head><title>t</title></head>{html}</html>")]
+    assert [t for t in want if t not in got] == [] and not any("Part" in t or "Privacy" in t or "©" in t for t in got)
+
+
 def test_long_and_broken_pages():
     assert len(boilerplate.main_blocks(page(f"<p>{EN}</p>" * 3000).decode())) == 3001
     for cut in range(0, 700, 37):
