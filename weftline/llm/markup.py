@@ -211,9 +211,15 @@ _FORMULA = re.compile(r"\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<![\w$\\])\$\$?(?=[^$\s])(
 _COMMAND = re.compile(r"(?<![:\w])\\[a-zA-Z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}|(?<=[\w.])\\(?:footnote|emph|textbf|textit)\{([^{}]*)\}")
 
 
+# One of these is in every form of markup.
+_SIGNS = re.compile(r"[*_~#`\[|={<&\\$\ue010]|''|- ")
+
+
 def clean_text(text: str) -> str:
     """A text without visible markup: tags, emphasis, links and commands become what they show, formulas stay between
     dollars; headings and lists keep their line and mark."""
+    if not _SIGNS.search(text):  # no rule below can change it
+        return "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x)
     kept: list[str] = []
 
     def keep(m: re.Match) -> str:
